@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on at once; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
@@ -39,6 +40,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of ``df`` with one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

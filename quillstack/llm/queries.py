@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import decontaminate, sharding
+from quillstack.llm import decontaminate, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,34 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(key: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, allowed=remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.resample(docs, quality.fit(docs, labels), ["doc_id"])
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op7_simhash": op7_simhash,
+    "op10_quality": op10_quality,
 }
 
 _SHARD_ROWS = ", ".join(f"({i}, '{s}', {sharding.preferences(s, sharding.SIZE)[0]}, {sharding.preferences(s, sharding.SIZE)[1]})" for i, s in enumerate(sharding.SHARDS))
