@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import decontaminate, quality, sharding, simhash, toxicity
+from quillstack.llm import decontaminate, pieces, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is, on every machine alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
+    text = F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == text).alias("lossless"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -53,6 +67,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op10_quality": op10_quality,
 }
