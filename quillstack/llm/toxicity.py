@@ -24,7 +24,7 @@ from quillstack.llm.common import extended, materialize, slices, small_batches
 SAMPLE = 20_000
 #: Stems in the learned lexicon at most, and documents that must hold one.
 STEMS, LEAST = 4000, 6
-STEM_SIZES = (4, 5, 7)
+STEM_SIZES = (3, 4, 5, 6, 7, 8, 9, 10)
 
 #: Common insults.
 INSULTS = frozenset(
@@ -53,9 +53,9 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def stems(word: bytes) -> list[bytes]:
-    """What the learned lexicon knows of a word: its beginnings and itself, told apart by their first byte."""
+    """What the learned lexicon knows of a word: its proper beginnings and itself, told apart by their first byte."""
     text = word.decode(errors="replace")
-    return [b"=" + word, *(b"^" + text[:n].encode() for n in STEM_SIZES if len(text) >= n)]
+    return [b"=" + word, *(b"^" + text[:n].encode() for n in STEM_SIZES if len(text) > n)]
 
 
 class Features:
@@ -213,14 +213,20 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def count(batches):
         toxic, clean = Counter(), Counter()
+
+        def out():
+            names = list(toxic.keys() | clean.keys())
+            part = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[s] for s in names], pa.int64()), pa.array([clean[s] for s in names], pa.int64())], names=["stem", "a", "b"])
+            toxic.clear()
+            clean.clear()
+            return part
+
         for batch, texts in slices(batches):
             for t, y in zip(texts, batch.column("_label").to_pylist()):
                 (toxic if y else clean).update({s for w in set(tokens(t)) for s in stems(w)})
-        yield pa.RecordBatch.from_pydict({"stem": list(toxic), "a": list(toxic.values()), "b": [clean[s] for s in toxic]}, pa.schema([("stem", pa.binary()), ("a", pa.int64()), ("b", pa.int64())]))
-        rest = [s for s in clean if s not in toxic]
-        for i in range(0, len(rest), 50_000):
-            part = rest[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"stem": part, "a": [0] * len(part), "b": [clean[s] for s in part]}, pa.schema([("stem", pa.binary()), ("a", pa.int64()), ("b", pa.int64())]))
+                if len(toxic) + len(clean) > 200_000:
+                    yield out()
+        yield out()
 
     sides = {r["_label"]: r["n"] for r in teach.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     counted = teach.select("_label", "text").mapInArrow(count, "stem binary, a bigint, b bigint").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
