@@ -5,18 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import decontaminate, pieces, quality, sharding, simhash, tokencount, toxicity
+from quillstack.llm import decontaminate, languagemodel, pieces, quality, sharding, simhash, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is, on every machine alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def remainder(key: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign(docs, F.col("doc_id"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = languagemodel.fit(docs, tokenizer_path("piece_bpe_32k.model"), remainder("doc_id", 10) != 0)
+    scored = languagemodel.score(docs, model, counts)
+    return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,11 +46,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def remainder(key: str, n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, allowed=remainder("doc_id", 5) != 0)
@@ -39,13 +53,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def tokenizer_path(name: str) -> str:
-    """Where a public tokenizer's file is, on every machine alike."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
@@ -71,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_language_model": op3_language_model,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
