@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import decontaminate, languagemodel, pieces, quality, sharding, simhash, tokencount, toxicity
+from quillstack.llm import decontaminate, languagemodel, nearest, pieces, quality, sharding, simhash, tokencount, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def remainder(key: str, n: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign(docs, F.col("doc_id"))
@@ -71,12 +75,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return quality.resample(docs, quality.fit(docs, labels), ["doc_id"])
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_sharding": op2_sharding,
     "op3_language_model": op3_language_model,
     "op4_decontamination": op4_decontamination,
@@ -84,6 +93,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
 
@@ -123,4 +133,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_sharding": OP2_SQL, "op4_decontamination": OP4_SQL}
+
+
+def _rule_cases(what: int) -> str:
+    """CASE over the rules, longest first; 0: the rule, 1: its verdict."""
+    rules = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, v)[what]}'" for v, h, p in rules) + " END"
+
+
+OP9_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+hp AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') AS host,
+  coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path FROM u),
+r AS (SELECT *, {_rule_cases(0)} AS rule, {_rule_cases(1)} AS ruled FROM hp),
+paths AS (SELECT host, path, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x != ''), lambda x: regexp_replace(x, '[0-9]+', '*', 'g')) AS segments FROM r GROUP BY host, path),
+children AS (SELECT DISTINCT host, d, array_to_string(segments[1:d - 1], '/') AS parent, segments[d] AS segment FROM (SELECT host, segments, unnest(range(1, len(segments) + 1)) AS d FROM paths)),
+wide AS (SELECT host, d, parent FROM children GROUP BY ALL HAVING count(*) > {urlfilter.FANOUT}),
+placed AS (SELECT host, path, n, bad, list_transform(range(1, len(segments) + 1), lambda d: CASE WHEN list_contains(coalesce(w, []), d || ' ' || array_to_string(segments[1:d - 1], '/')) THEN '*' ELSE segments[d] END) AS s
+  FROM paths LEFT JOIN (SELECT host, list(d || ' ' || parent) AS w FROM wide GROUP BY host) USING (host)),
+t AS (SELECT host, path, n, bad, array_to_string(s[1:len(s) - 1], '/') AS branch, array_to_string(s, '/') AS template FROM placed),
+leaves AS (SELECT host, branch, template, sum(n) AS n, sum(bad) AS bad FROM t GROUP BY ALL),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY host, branch) AS bn, sum(bad) OVER (PARTITION BY host, branch) AS bb, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM leaves) AS p_all FROM leaves),
+grouped AS (SELECT *, CASE WHEN n = 0 OR bn = n OR bb = 0 OR bb = bn OR abs(bad / n - (bb - bad) / (bn - n)) < {urlfilter.Z} * sqrt((bb / bn) * (1 - bb / bn) * (1 / n + 1 / (bn - n))) THEN '*' ELSE template END AS merged FROM sums),
+pure AS (SELECT *, sum(n) OVER (PARTITION BY host, branch, merged) AS gn, sum(bad) OVER (PARTITION BY host, branch, merged) AS gb FROM grouped),
+gone AS (SELECT host, template FROM pure WHERE (gb + {urlfilter.WEIGHT} * ((bb + {urlfilter.WEIGHT} * p_all) / (bn + {urlfilter.WEIGHT}))) / (gn + {urlfilter.WEIGHT}) > 0.5)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN g.template IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN t USING (host, path) LEFT JOIN gone g USING (host, template)
+"""
+
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
