@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = []
+MODULES = ["q_search"]
 
 
 def _all(name: str) -> dict:
