@@ -130,7 +130,11 @@ def parse_identifier(c: Column) -> Column:
 
 def scan(c: Column) -> Column:
     """All identifiers in a text: DOIs, then arXiv ids, then ISBNs."""
-    return F.concat(*(F.transform(find(c), lambda x, k=kind: identifier(k, x)) for kind, find in (("doi", find_dois), ("arxiv", find_arxiv), ("isbn", find_isbns))))
+
+    def all_of(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda x: identifier(kind, x))
+
+    return F.concat(all_of("doi", find_dois(c)), all_of("arxiv", find_arxiv(c)), all_of("isbn", find_isbns(c)))
 
 
 def display(c: Column) -> Column:

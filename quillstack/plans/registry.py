@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["q_search"]
+MODULES = ["q_search", "q_records"]
 
 
 def _all(name: str) -> dict:
