@@ -236,15 +236,28 @@ class Merger:
             live = live[(self.keys[at[live]] != keys[live]) & (self.keys[at[live]] >= 0)]
         return at
 
-    def add(self, keys: np.ndarray) -> None:
-        """Compile the transitions of distinct keys and put them into the table."""
-        got = np.array([self.compile(k >> 8, k & 255) for k in keys.tolist()])
-        self.edges += len(keys)
+    def grow(self) -> None:
+        """Twice the table, for one call that needs more states than it holds; the next call starts afresh."""
+        used = np.flatnonzero(self.keys >= 0)
+        keys, after, delta = self.keys[used], self.next[used], self.delta[used]
+        self.size *= 2
+        self.keys = np.full(self.size, -1, np.int64)
+        self.next, self.delta = np.zeros(self.size, np.int32), np.zeros(self.size, np.int16)
+        self.put(keys, np.stack((after, delta), 1))
+
+    def put(self, keys: np.ndarray, got: np.ndarray) -> None:
+        """Distinct keys into the table, with (next state, change) each."""
         while len(keys):
             at, one = np.unique(self.slot(keys), return_index=True)
             self.keys[at], self.next[at], self.delta[at] = keys[one], got[one, 0], got[one, 1]
             keys, got = np.delete(keys, one), np.delete(got, one, 0)
 
+    def add(self, keys: np.ndarray) -> None:
+        """Compile the transitions of distinct keys and put them into the table."""
+        got = np.array([self.compile(k >> 8, k & 255) for k in keys.tolist()])
+        self.edges += len(keys)
+        self.put(keys, got)
+
     def counts(self, words: list[bytes]) -> list[int]:
         """Number of tokens of each of the pre-tokens."""
         if len(self.states) > STATES or self.edges > self.size // 2:
@@ -261,13 +274,9 @@ class Merger:
             at = self.slot(keys)
             missing = np.flatnonzero(self.keys[at] < 0)
             if len(missing):
-                if self.edges + len(missing) > self.size * 3 // 4:  # too many for the table: halves, each with a table of its own
-                    half = len(words) // 2
-                    if half:
-                        self.reset()
-                        left = self.counts(words[:half])
-                        self.reset()
-                        return left + self.counts(words[half:])
+                while self.edges + len(missing) > self.size * 3 // 4:
+                    self.grow()
+                    at = self.slot(keys)
                 self.add(np.unique(keys[missing]))
                 at[missing] = self.slot(keys[missing])
             state[:n] = self.next[at]
