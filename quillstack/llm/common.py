@@ -27,12 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables written by this driver.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this driver has written to the shared folder, once no result needs them any more."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor costs
     nothing that was already computed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstack-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize
+from quillstack.llm.common import materialize, ranges
 
 SAMPLE, CELLS, PROBES, SHORTLIST = 16_384, 4096, 0.65, 64
 SUBSPACES, WORDS = 16, 256
@@ -154,22 +154,22 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
             codes = np.frombuffer(b"".join(ours.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
             ids = ours.column("ids").combine_chunks()
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            least = flat[offsets[:-1]]
             qid, cell = queries.column("qid").to_numpy(), table.column("cell")[0].as_py()
+            # By smallest key, so that stable sorts settle ties.
+            rows = np.argsort(flat[offsets[:-1]], kind="stable")
+            x, codes, first, count = x[rows], codes[rows], offsets[:-1][rows], np.diff(offsets)[rows]
             for i in range(0, len(q), 64):
-                tables = shared.value.tables(q[i : i + 64], cell)
-                near = np.zeros((len(tables), len(x)))
+                part = q[i : i + 64]
+                tables = shared.value.tables(part, cell)
+                near = np.zeros((len(part), len(x)))
                 for s in range(codes.shape[1]):
                     near += tables[:, s][:, codes[:, s]]
-                for j, row in enumerate(near):
-                    short = np.lexsort((least, row))[:shortlist] if len(row) > shortlist else np.arange(len(row))
-                    exact = np.sqrt(((x[short] - q[i + j]) ** 2).sum(1))
-                    best = np.lexsort((least[short], exact))[: k + 1]
-                    n = offsets[short[best] + 1] - offsets[short[best]]
-                    vec = np.concatenate([flat[offsets[b] : offsets[b + 1]] for b in short[best]])
-                    score = np.repeat(exact[best], n)
-                    top = np.lexsort((vec, score))[: k + 1]
-                    out.append((np.full(len(top), qid[i + j]), vec[top], score[top]))
+                short = np.sort(np.argsort(near, 1, kind="stable")[:, :shortlist], 1)
+                exact = np.sqrt(((x[short] - part[:, None]) ** 2).sum(2))
+                best = np.argsort(exact, 1, kind="stable")[:, : k + 1]
+                score, entry = np.take_along_axis(exact, best, 1).ravel(), np.take_along_axis(short, best, 1).ravel()
+                n = count[entry]
+                out.append((np.repeat(np.repeat(qid[i : i + 64], best.shape[1]), n), flat[ranges(first[entry], n)], np.repeat(score, n)))
         columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in ((0, np.int64), (1, np.int64), (2, np.float64))]
         return pa.table(dict(zip(("qid", "id", "score"), map(pa.array, columns))))
 

@@ -30,7 +30,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Score of one byte piece: below that of any piece, so bytes serve only characters that no piece has.
 BYTE_SCORE = -1e9
 #: Characters of words in one numpy step, and words remembered by a task.
-STEP, KNOWN = 1 << 18, 300_000
+STEP, KNOWN = 1 << 18, 600_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -364,6 +364,18 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_release(spark):
+    import os
+
+    from quillstack.llm import common
+
+    df = common.materialize(spark.range(5))
+    path = common._WRITTEN[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
+
+
 # URL filters.
 
 
