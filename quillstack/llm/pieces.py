@@ -1,9 +1,12 @@
-"""SentencePiece encoding and decoding by batched numpy Viterbi.
+"""SentencePiece encoding and decoding in batched numpy.
 
-A word (its leading blanks and what follows up to the next blank) is segmented into the pieces of a SentencePiece model
-with the highest sum of scores. Words of equal length advance together: hashes of all substrings up to the longest
-piece probe the sorted hashes of the pieces, and a vectorised maximum over the piece that ends at each character stores
-the back pointer. Characters without a piece become byte pieces. Decoding joins the pieces and gives the text back.
+A word (its leading blanks and what follows up to the next blank) is segmented as the model's own library does. The
+scores of a merge model are the ranks of its merges: the neighbours whose union is the piece of highest score are
+merged, the first of equals, until none is left. Words of equal length advance together, a merge of each in a step.
+
+Other models: the pieces with the highest sum of scores, by Viterbi. Hashes of all substrings up to the longest piece
+probe the sorted hashes of the pieces, and a vectorised maximum over the piece that ends at each character stores the
+back pointer. Characters without a piece become byte pieces. Decoding joins the pieces and gives the text back.
 
 No piece of the model spans a blank that follows another character, so words can be segmented on their own; that is
 checked when the model is loaded. The longest piece wins ties.
@@ -12,6 +15,7 @@ checked when the model is loaded. The longest piece wins ties.
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 from itertools import chain
 
@@ -31,6 +35,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE_SCORE = -1e9
 #: Characters of words in one numpy step, and words remembered by a task.
 STEP, KNOWN = 1 << 18, 600_000
+#: Longer words are merged one by one from a heap, whose time grows with the length rather than its square.
+LONG = 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,6 +49,7 @@ class Pieces:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
@@ -80,6 +87,24 @@ class Pieces:
         for row, p in zip(self.chars, np.array(list(chosen), object)[order]):
             row[: len(p)] = [ord(c) for c in p]
 
+        self.place = {p: i for i, p in enumerate(np.array(list(chosen), object)[order].tolist())}
+        spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+        self.merges = spec.model_type == spec.BPE
+        if self.merges:
+            self.learn_pairs()
+
+    def learn_pairs(self) -> None:
+        """The two parts of each piece that are pieces too, as sorted keys, with the place of the union."""
+        place, n = self.place, len(self.place)
+        if any(c not in place for c in {c for p in place for c in p}):
+            raise ValueError("a piece holds a character that is no piece")
+        pairs = {place[p[:i]] * n + place[p[i:]]: at for p, at in place.items() for i in range(1, len(p)) if p[:i] in place and p[i:] in place}
+        self.union = pairs
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_union = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        single = sorted((ord(p), at) for p, at in place.items() if len(p) == 1)
+        self.codes, self.code_place = np.array([c for c, _ in single], np.int64), np.array([at for _, at in single], np.int64)
+
     def hash_of(self, piece: str) -> int:
         h = np.uint64(len(piece))
         with np.errstate(over="ignore"):
@@ -105,6 +130,91 @@ class Pieces:
                     out[i] = ids
         return out
 
+    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each of the words by the model's merges."""
+        out: list = [()] * len(words)
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
+        for size, rows in by.items():
+            for at in range(0, len(rows), max(1, STEP // size)):
+                part = rows[at : at + max(1, STEP // size)]
+                for i, places in zip(part, (self.merge_long if size > LONG else self.merge)([words[i] for i in part], size)):
+                    out[i] = self.ids_of(places)
+        return out
+
+    def ids_of(self, places: list[int]) -> tuple[int, ...]:
+        """Ids of places in the table; a character c without a piece is the place -1 - c."""
+        if min(places) >= 0:
+            return tuple(self.ids[places].tolist())
+        out: list[int] = []
+        for p in places:
+            c = "" if p >= 0 else chr(-1 - p)
+            out.extend([int(self.ids[p])] if p >= 0 else self.bytes[list((BLANK if c == OWN_BLANK else c).encode())].tolist())
+        return tuple(out)
+
+    def characters(self, words: list[str], size: int) -> np.ndarray:
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.code_place[at], -1 - codes).reshape(-1, size)
+
+    def unions(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the union of each pair, its score), score -inf where there is none."""
+        key = left * len(self.place) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        some = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        return self.pair_union[at], np.where(some, self.scores[self.pair_union[at]], -np.inf)
+
+    def merge(self, words: list[str], size: int) -> list[list[int]]:
+        """Places of words of one length: in each step the best pair of every word that has one."""
+        out: list[list[int]] = [[]] * len(words)
+        live, row = np.arange(len(words)), self.characters(words, size)
+        union, score = self.unions(row[:, :-1], row[:, 1:])
+        while len(live):
+            n, m = row.shape
+            best = score.argmax(1) if m > 1 else np.zeros(n, np.int64)
+            more = score[np.arange(n), best] > -np.inf if m > 1 else np.zeros(n, bool)
+            for i, places in zip(live[~more].tolist(), row[~more].tolist()):
+                out[i] = places
+            live, row, union, score, best = live[more], row[more], union[more], score[more], best[more]
+            if not len(live):
+                break
+            each = np.arange(len(live))
+            row[each, best] = union[each, best]
+            row = row[np.arange(m) != best[:, None] + 1].reshape(len(live), m - 1)
+            keep = np.arange(m - 1) != best[:, None]
+            union, score = union[keep].reshape(len(live), m - 2), score[keep].reshape(len(live), m - 2)
+            for rows, at in ((each[best > 0], best[best > 0] - 1), (each[best < m - 2], best[best < m - 2])):
+                union[rows, at], score[rows, at] = self.unions(row[rows, at], row[rows, at + 1])
+        return out
+
+    def merge_long(self, words: list[str], size: int) -> list[list[int]]:
+        out, n = [], len(self.place)
+        for word in self.characters(words, size).tolist():
+            after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+            scores, union, heap = self.scores, self.union, []
+
+            def push(a: int, b: int) -> None:
+                if a >= 0 and b < size and word[a] >= 0 and word[b] >= 0 and (p := union.get(word[a] * n + word[b])) is not None:
+                    heap.append((-scores[p], a, b, word[a], word[b], p)) if not ready else heappush(heap, (-scores[p], a, b, word[a], word[b], p))
+
+            ready = False
+            for i in range(size - 1):
+                push(i, i + 1)
+            heapify(heap)
+            ready, gone = True, [False] * size
+            while heap:
+                _, a, b, x, y, p = heappop(heap)
+                if gone[a] or gone[b] or word[a] != x or word[b] != y or after[a] != b:
+                    continue
+                word[a], gone[b], after[a] = p, True, after[b]
+                if after[b] < size:
+                    before[after[b]] = a
+                push(before[a], a)
+                push(a, after[a])
+            out.append([p for p, g in zip(word, gone) if not g])
+        return out
+
     def advance(self, words: list[str], size: int) -> list[tuple[int, ...]]:
         """Viterbi over words of one length."""
         n = len(words)
@@ -184,7 +294,7 @@ class Encoder:
         split = [self.pieces.words(t) if t else [] for t in texts]
         new = list({w for s in split for w in s if w not in known})
         if new:
-            known.update(zip(new, self.pieces.segment(new)))
+            known.update(zip(new, (self.pieces.merged if self.pieces.merges else self.pieces.segment)(new)))
         lists = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
         if len(known) > KNOWN:
             known.clear()
