@@ -5,37 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Bytes of text that one numpy step works on at once; bounds a Python worker's memory.
+#: Bytes of text that one numpy step works on at once; bounds a Python worker's memory, as Spark's own limit of bytes in
+#: an Arrow batch does for what comes from the JVM.
 SLICE_BYTES = 4 << 20
-#: Rows of one Arrow batch from the JVM, which bounds the batch when texts are long.
-BATCH_ROWS = "500"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where that is unset, as in tests."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset, one of our own if all runs on this
+    machine; otherwise an error, since other machines couldn't read it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="quillstack-")
         shared_dir.own = path
     return path.rstrip("/")
 
 
-#: Tables written by this driver.
+#: Tables that this driver has written and not deleted, in order, and the frames that read them.
 _WRITTEN: list[str] = []
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this driver has written to the shared folder, once no result needs them any more."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,11 +42,41 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quillstack-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.remove(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if (path := _PATHS.pop(df, None)) in _WRITTEN:
+            _delete(df.sparkSession, path)
+
 
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after the first ``since``, but for that of ``keep``, once no result needs them."""
+    spared = _PATHS.get(keep) if keep is not None else None
+    for path in [p for p in _WRITTEN[since:] if p != spared]:
+        _delete(spark, path)
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with as many ``_`` in front as keep them apart from ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -65,15 +92,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches, each of some ``limit`` bytes of text (or a single row), with the texts as bytes."""
     for batch in batches:
-        texts = as_bytes(batch.column(text))
-        start = total = 0
-        for i, t in enumerate(texts):
-            if total and total + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, total = i, 0
-            total += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, stop - start), as_bytes(column.slice(start, stop - start))
+            start = stop
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,3 +109,24 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - (ends - counts), counts)
+
+
+class Memo(dict):
+    """Words to what is known of them. ``full`` after ``count`` words or ``size`` bytes of words."""
+
+    def __init__(self, count: int = 600_000, size: int = 64 << 20):
+        super().__init__()
+        self.limit, self.room = count, size
+        self.bytes = 0
+
+    def learn(self, words: list, values: list) -> None:
+        self.update(zip(words, values))
+        self.bytes += sum(map(len, words))
+
+    @property
+    def full(self) -> bool:
+        return len(self) > self.limit or self.bytes > self.room
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, ranges, slices, small_batches
+from quillstack.llm.common import materialize, ranges, slices
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -176,7 +176,6 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     all reported; of equally long matches the first item, then place, is named. Other columns aren't read.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {kind}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}, longest {LONGEST}"
@@ -224,7 +223,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
     benchmark passes over what the blocks before it have left. Rows are judged one by one, so null or repeated keys
     don't matter; null and empty texts stay."""
     spark = documents.sparkSession
-    small_batches(spark)
     for block in blocks_of(benchmark, item, item_text, block_bytes):
         items = spark.sparkContext.broadcast([(r.item, (r.text or "").encode()) for r in block.collect() if r.item is not None])
 

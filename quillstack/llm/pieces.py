@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, slices, small_batches
+from quillstack.llm.common import Memo, extended, slices
 
 BLANK = "▁"
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -307,7 +307,6 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
 
     Null and empty texts have no ids and decode to ''. Former columns of the new names are replaced. One pass over
     whole texts, no shuffle. ``path`` is a model file that every executor can open."""
-    small_batches(documents.sparkSession)
     documents = documents.drop(ids, *([decoded] if decoded else []))
     schema = extended(documents, ids, T.ArrayType(T.IntegerType()))
     if decoded:
@@ -330,7 +329,6 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``frame`` with the text of its ``ids``; null ids give null."""
-    small_batches(frame.sparkSession)
     frame = frame.drop(text)
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, materialize, slices, small_batches
+from quillstack.llm.common import extended, materialize, slices
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the cut are fitted on at most.
@@ -121,7 +121,6 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     lowest, ``sample`` of them. A key with several labels has their majority (a tie counts as 1); null labels are left
     out. Without labels of both kinds the cut lets everything pass."""
     spark = documents.sparkSession
-    small_batches(spark)
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
     votes = materialize(votes.orderBy(F.xxhash64("_key"), "_key").limit(sample))
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(votes), "_key", "left").select("_label", "text")
@@ -147,7 +146,6 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def weigh(documents: DataFrame, model: Model, text: str = "text", weight: str = "weight") -> DataFrame:
     """``documents`` with their log importance weight (double); null and empty texts weigh 0. No shuffle."""
-    small_batches(documents.sparkSession)
     documents = documents.drop(weight)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

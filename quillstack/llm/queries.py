@@ -35,8 +35,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = languagemodel.fit(docs, tokenizer_path("piece_bpe_32k.model"), remainder("doc_id", 10) != 0)
-    scored = languagemodel.score(docs, model, counts)
+    scored = languagemodel.score(docs, tokenizer_path("piece_bpe_32k.model"), remainder("doc_id", 10) != 0)
     return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 

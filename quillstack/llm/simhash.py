@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, slices, small_batches
+from quillstack.llm.common import discard, materialize, slices
 
 SHINGLE, SEED, BITS = 3, 42, 3
 CELL = 2048
@@ -67,7 +67,6 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): the fingerprint of every row's whole text, as a signed long. Null texts have no words."""
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
@@ -162,10 +161,8 @@ def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
         if len(rest_cell):
             yield out(rest_cell, rest_fp)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a bigint, b bigint")
     found = materialize(found.distinct())
-    small_batches(spark)
     return found
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, slices, small_batches
+from quillstack.llm.common import Memo, extended, slices
 
 CHUNK = 128
 #: States of the merger and pre-tokens' counts that a worker keeps at most.
@@ -326,7 +326,6 @@ def count(documents: DataFrame, path: str, text: str = "text", n_tokens: str = "
 
     Null and empty texts have none; a former column of the name is replaced; one pass, no shuffle. ``path`` is a
     vocabulary file that every executor can open."""
-    small_batches(documents.sparkSession)
     documents = documents.drop(n_tokens)
 
     def run(batches):

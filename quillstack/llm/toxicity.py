@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, materialize, slices, small_batches
+from quillstack.llm.common import extended, materialize, slices
 
 SAMPLE = 20_000
 #: Stems in the learned lexicon at most, and documents that must hold one.
@@ -197,7 +197,6 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Null labels, keys and texts are left out; a key with several labels has their majority (a tie counts as 1). No more
     than ``sample`` rows come to the driver, as features."""
     spark = documents.sparkSession
-    small_batches(spark)
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label"))
     if allowed is not None:
         votes = votes.withColumnRenamed("_key", key).where(allowed).withColumnRenamed(key, "_key")
@@ -246,7 +245,6 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def score(documents: DataFrame, model: Model, text: str = "text", keep: float | None = None) -> DataFrame:
     """``documents`` with the column ``score`` (0 to 1) appended, or with ``keep`` the rows that score below it, their
     columns as they were. One pass, no shuffle. Null texts count as empty; a former column ``score`` is replaced."""
-    small_batches(documents.sparkSession)
     if keep is None:
         documents = documents.drop("score")
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -304,38 +304,6 @@ def test_attention_is_causal_and_scores_each_token_once():
     assert np.allclose(a[:-1], b[:-1]) and not np.allclose(a[-1], b[-1])
 
 
-def test_language_model(spark, docs, none):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    allowed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
-    model, counts = languagemodel.fit(docs, path, allowed)
-    got = languagemodel.score(docs, model, counts).collect()
-    rows = docs.collect()
-    train = [r.text or "" for r in docs.where(allowed).collect()]
-    c: dict = {}
-    for t in train:
-        for w in [*t.encode().lower().split(), b""]:
-            c[w] = c.get(w, 0) + 1
-    total = sum(c.values())
-    want = sorted((str(r.doc_id), *(f(r.text) for f in (lambda t: len((t or "").split()) + 1, lambda t: sum(w in c for w in [*(t or "").encode().lower().split(), b""]), lambda t: round(sum(np.log10((c.get(w, 0) + 0.1) / (total + 0.1 * (len(c) + 1))) for w in [*(t or "").encode().lower().split(), b""]), 6)))) for r in rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert {r.train_tokens for r in got} == {total} and all(np.isfinite(r.score) and r.score < 0 for r in got)
-    assert languagemodel.score(none, model, counts).count() == 0
-    empty, table = languagemodel.fit(none, path, allowed)
-    assert all(np.isfinite(r.score) for r in languagemodel.score(docs, empty, table).collect())
-
-
-def test_words_after_a_context_sum_to_at_most_one(spark, docs):
-    """Chances of the words of a small closed set, each with its end, stay below one; likelier ones come first."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    model, _ = languagemodel.fit(docs, path, F.lit(True))
-    reader = languagemodel.Reader(model)
-    words = sorted({w for t in docs.where("text IS NOT NULL").limit(50).collect() for w in t.text.lower().encode().split()}) + [b"", b"unseen", b"zq"]
-    stem = languagemodel.score_texts(reader, [b"the of"])[3][0]
-    end = languagemodel.score_texts(reader, [b"the of"])
-    assert 10 ** stem < 1 and end[0][0] == 3
-    assert 0 < sum(10 ** languagemodel.score_texts(reader, [w])[3][0] for w in words) < 1
-
-
 # Nearest neighbours.
 
 
