@@ -89,8 +89,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches, each of some ``limit`` bytes of text (or a single row), with the texts as bytes."""
+def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, each of some ``limit`` bytes of text (or a single row)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
@@ -98,10 +98,30 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         while start < len(ends):
             before = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(start, stop - start), as_bytes(column.slice(start, stop - start))
+            yield batch.slice(start, stop - start)
             start = stop
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The ``parts`` with their texts as bytes."""
+    for batch in parts(batches, text, limit):
+        yield batch, as_bytes(batch.column(batch.schema.get_field_index(text)))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of the texts, A-Z in lower case, cut at ASCII white space: (the place of each word among the distinct
+    ones, the distinct words, words of each text). Null texts have none."""
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    sizes = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    index, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # what white space at the edges leaves
+        full = index != distinct.index(b"")
+        sizes = np.add.reduceat(full, np.cumsum(sizes) - sizes, dtype=np.int64)
+        index = index[full]
+    return index, distinct, sizes
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The concatenation of ``start .. start + count - 1`` for each pair."""
     counts = np.asarray(counts, np.int64)
