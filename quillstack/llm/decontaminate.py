@@ -8,7 +8,8 @@ Word ids are those of the benchmark's vocabulary, 0 for any other word. No match
 only runs of known words that are long enough for the shortest window: the result is the same as over the whole shard.
 
 The benchmark's size is checked before it is broadcast. Beyond ``block_bytes`` it is dealt into blocks, each of which
-passes over all the documents; the passes' spans then meet by document.
+passes over all the documents, written once with row numbers; the passes' spans then meet by row, so the result is the
+same for any number of blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, ranges, slices
+from quillstack.llm.common import discard, materialize, ranges, slices
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -57,7 +58,7 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         split = [(i, w) for i, w in ((i, words(t)) for i, t in items) if w]
         self.names = [i for i, _ in split]
         self.vocabulary: dict[bytes, int] = {}
@@ -151,7 +152,7 @@ def search(tests: TestSuffixes, docs: list[list[bytes]]) -> list[tuple[list[tupl
             else:
                 spans.append((s, s + n))
         top = rows[0]
-        out[k] = (spans, sorted({tests.names[x] for x in i[head][rows].tolist()}), (int(words_[top]), tests.names[i[head][top]], int(w[head][top] - g[head][top]), int(starts[top])))
+        out[k] = (spans, sorted({tests.names[x] for x in i[head][rows].tolist()} - {None}), (int(words_[top]), tests.names[i[head][top]], int(w[head][top] - g[head][top]), int(starts[top])))
     return out
 
 
@@ -171,17 +172,21 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row per document row: ``key``, n_words, n_hit, items (array of item ids as text, sorted), spans (word ranges
     hit, in order, apart), longest (the longest verbatim match and where it is).
 
-    A null text has no words; a document or item without words matches nothing; an empty benchmark hits nothing; repeated
-    documents each get their row (over several blocks, keys should be unique: rows of one key then meet); equal items are
-    all reported; of equally long matches the first item, then place, is named. Other columns aren't read.
+    A null text has no words; a document or item without words matches nothing; an empty benchmark hits nothing. Rows
+    are judged one by one, whatever their keys: repeated rows and null keys each get their row. An item without an id
+    hits words like any other but isn't named. Equal items are all reported; of equally long matches the first item, then
+    place, is named. Very long texts are searched whole, as a shard of their own. Other columns aren't read.
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}, longest {LONGEST}"
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    blocks = blocks_of(benchmark, item, item_text, block_bytes)
+    if len(blocks) > 1:  # each block passes over the same rows
+        rows = materialize(rows)
+    schema = f"row bigint, key {kind}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}, longest {LONGEST}"
 
     def one(block: DataFrame) -> DataFrame:
-        items = spark.sparkContext.broadcast([(r.item, (r.text or "").encode()) for r in block.collect() if r.item is not None])
+        items = spark.sparkContext.broadcast([(r.item, (r.text or "").encode()) for r in block.collect()])
 
         def over(batches):
             tests = TestSuffixes(items.value, window)
@@ -190,6 +195,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 found = search(tests, split)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row"),
                         batch.column("key"),
                         pa.array([len(w) for w in split], pa.int64()),
                         pa.array([sum(b - a for a, b in s) for s, _, _ in found], pa.int64()),
@@ -197,34 +203,37 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                         pa.array([[{"start": a, "stop": b} for a, b in s] for s, _, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                         pa.array([dict(zip(("n_words", "item_id", "item_at", "doc_at"), x)) for _, _, x in found], pa.struct([("n_words", pa.int64()), ("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64())])),
                     ],
-                    names=["key", "n_words", "n_hit", "items", "spans", "longest"],
+                    names=["row", "key", "n_words", "n_hit", "items", "spans", "longest"],
                 )
 
         return rows.mapInArrow(over, schema)
 
-    parts = [one(b) for b in blocks_of(benchmark, item, item_text, block_bytes)]
+    parts = [one(b) for b in blocks]
     if len(parts) > 1:
-        both = materialize(parts[0])
-        for part in parts[1:]:
-            both = both.unionByName(materialize(part))
+        passes = [materialize(part) for part in parts]
+        both = passes[0]
+        for part in passes[1:]:
+            both = both.unionByName(part)
         merged = (
             "aggregate(array_sort(flatten(collect_list(spans))), cast(array() as {s}), (a, x) -> CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).stop "
             "THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).stop, x.stop) AS stop))) ELSE concat(a, array(x)) END)"
         ).format(s=SPANS)
-        out = both.groupBy("key").agg(F.max("n_words").alias("n_words"), F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items"), F.expr(merged).alias("spans"), F.max_by("longest", "longest.n_words").alias("longest"))
+        out = both.groupBy("row").agg(F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items"), F.expr(merged).alias("spans"), F.max_by("longest", "longest.n_words").alias("longest"))
+        discard(rows)
         out = out.select("key", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)").alias("n_hit"), "items", "spans", "longest")
     else:
-        out = parts[0]
+        out = parts[0].drop("row")
     return out.withColumnRenamed("key", key)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any window of the benchmark, columns as they were, without a shuffle: each block of the
     benchmark passes over what the blocks before it have left. Rows are judged one by one, so null or repeated keys
-    don't matter; null and empty texts stay."""
+    don't matter; null and empty texts stay; items without an id count like any other; an empty table gives an empty one.
+    Columns of any name are kept."""
     spark = documents.sparkSession
     for block in blocks_of(benchmark, item, item_text, block_bytes):
-        items = spark.sparkContext.broadcast([(r.item, (r.text or "").encode()) for r in block.collect() if r.item is not None])
+        items = spark.sparkContext.broadcast([(r.item, (r.text or "").encode()) for r in block.collect()])
 
         def keep(batches, items=items):
             tests = TestSuffixes(items.value, window)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, materialize, slices
+from quillstack.llm.common import extended, free_names, lowest, materialize, slices
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the cut are fitted on at most.
@@ -117,13 +117,14 @@ def kth_largest(values: DataFrame, column: str, k: int, enough: int = 20_000) ->
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Models and cut. The raw model counts all documents; the target and the cut use the labelled rows whose keys hash
-    lowest, ``sample`` of them. A key with several labels has their majority (a tie counts as 1); null labels are left
-    out. Without labels of both kinds the cut lets everything pass."""
-    spark = documents.sparkSession
+    """Models and cut. The raw model counts all documents; the target and the cut use the rows of the labelled keys that
+    hash lowest, ``sample`` of them; a key on several rows counts in the cut once, with its lowest weight. A key with
+    several labels has their majority (a tie counts as 1); null labels and keys are left out. Without labels of both
+    kinds the cut lets everything pass. Null texts are empty; very long ones are read whole; empty tables fit a model of
+    no opinion. Other columns aren't read."""
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
-    votes = materialize(votes.orderBy(F.xxhash64("_key"), "_key").limit(sample))
-    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(votes), "_key", "left").select("_label", "text")
+    votes = materialize(lowest(materialize(votes), F.col("_key"), sample))
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(votes), "_key", "left").select("_key", "_label", "text")
 
     def count(batches):
         hashed, raw, target = Hashed(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -136,16 +137,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(target[some]), pa.array(raw[some])], names=["b", "t", "r"])
 
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows.mapInArrow(count, "b bigint, t bigint, r bigint").groupBy("b").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).collect():
+    for r in rows.select("_label", "text").mapInArrow(count, "b bigint, t bigint, r bigint").groupBy("b").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).collect():
         target[r["b"]], raw[r["b"]] = r["t"], r["r"]
     model = Model(target, raw)
-    known = weigh(rows.where("_label IS NOT NULL"), model).select("_label", "weight").collect()
+    known = weigh(rows.where("_label IS NOT NULL"), model).groupBy("_key", "_label").agg(F.min("weight").alias("weight")).collect()
     model.cut = best_cut(*(np.array([r["weight"] for r in known if r["_label"] == y]) for y in (1, 0)))
     return model
 
 
 def weigh(documents: DataFrame, model: Model, text: str = "text", weight: str = "weight") -> DataFrame:
-    """``documents`` with their log importance weight (double); null and empty texts weigh 0. No shuffle."""
+    """``documents`` with their log importance weight (double). Null and empty texts weigh 0; repeated rows weigh alike;
+    very long texts are read whole; a former column of the name is replaced; an empty table gives an empty one. No shuffle."""
     documents = documents.drop(weight)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -157,20 +159,27 @@ def weigh(documents: DataFrame, model: Model, text: str = "text", weight: str =
     return documents.mapInArrow(run, extended(documents, weight, T.DoubleType()))
 
 
+def sampled(documents: DataFrame, model: Model, key: str, text: str) -> tuple[DataFrame, str, Column]:
+    """(a table of the documents with their weight, the weight's column name, the condition of being sampled). Names
+    that no column has are taken, so columns of any name stay."""
+    weight, perturbed = free_names(documents.columns, "weight", "perturbed")
+    scored = weigh(documents, model, text, weight)
+    scored = materialize(scored.withColumn(perturbed, F.col(weight) + gumbel(F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    k = scored.where(F.col(weight) >= float(model.cut)).count()
+    return scored, weight, F.col(perturbed) >= F.lit(float(kth_largest(scored, perturbed, k)))
+
+
 def resample(documents: DataFrame, model: Model, columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``columns`` of every document with ``weight`` and ``kept``, written to the shared folder.
+    """``columns`` of every document with ``weight`` and ``kept``, from a table in the shared folder.
 
     kept: among the k largest of weight plus noise, where k is the number of weights that reach the model's cut. Rows
-    that tie with the k-th (repeated rows) are all kept. An empty table gives an empty one."""
-    need = list(dict.fromkeys([key, text, *columns]))
-    scored = weigh(documents.select(*need), model, text, "_weight").withColumn("_key", F.col("_weight") + gumbel(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    scored = materialize(scored.select(*columns, "_weight", "_key"))
-    k = scored.where(F.col("_weight") >= float(model.cut)).count()
-    least = kth_largest(scored, "_key", k)
-    return scored.withColumns({"weight": F.col("_weight"), "kept": F.col("_key") >= F.lit(float(least))}).drop("_weight", "_key")
+    that tie with the k-th (repeated rows) are all kept. Null and empty texts weigh 0; null keys share one noise; an
+    empty table gives an empty one. Columns named weight or kept aren't returned under those names."""
+    table, weight, kept = sampled(documents.select(*dict.fromkeys([key, text, *columns])), model, key, text)
+    return table.select(*(c for c in columns if c not in ("weight", "kept")), F.col(weight).alias("weight"), kept.alias("kept"))
 
 
 def clean(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled documents, columns as they were."""
-    both = documents.columns
-    return resample(documents, model, both, key, text).where("kept").select(*both)
+    """The sampled documents, columns of any name as they were; nulls, ties and empty tables as in ``resample``."""
+    table, _, kept = sampled(documents, model, key, text)
+    return table.where(kept).select(*documents.columns)

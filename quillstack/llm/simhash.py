@@ -176,10 +176,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = materialize(large)
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         edges = materialize(small)
+        discard(large)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first()
         if now == state:
             break
@@ -191,21 +193,18 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, fp, component): ``component`` is the smallest key that links of fingerprints reach, itself included.
 
     Texts without words (null, empty, white space) have fingerprint 0 and are linked like any other; rows that repeat a
-    key count as one document; a row with a null key gets its component, null if that has no other key; an empty table
-    gives an empty one. Other columns aren't read."""
+    key count as one document; a row with a null key gets its component, null if that has no other key; very long texts
+    are read whole; an empty table gives an empty one. Other columns aren't read."""
     rows = materialize(fingerprints(documents, key, text))
     distinct = materialize(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    nodes = components(links(distinct.select("fp")))
+    joined = links(distinct.select("fp"))
+    nodes = components(joined)
     named = materialize(nodes.join(distinct, nodes["node"] == distinct["fp"]).select("node", "root", "least"))
+    discard(joined)
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.join(lowest, "root").select(F.col("node").alias("fp"), "component")
     alone = distinct.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component"))
     known = materialize(linked.unionAll(alone))
+    discard(distinct, named)
     out = rows.join(known, "fp", "left").select("key", "fp", F.coalesce("component", "key").alias("component"))
     return out.withColumnRenamed("key", key)
-
-
-def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest key; columns as they were. Rows with null keys stay."""
-    gone = groups(documents, key, text).where(F.col("component") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return documents.join(gone, documents[key] == gone["_gone"], "left_anti")

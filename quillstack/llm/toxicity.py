@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import extended, materialize, slices
+from quillstack.llm.common import extended, lowest, materialize, slices
 
 SAMPLE = 20_000
 #: Stems in the learned lexicon at most, and documents that must hold one.
@@ -91,8 +91,8 @@ class Features:
         raw = text.split()
         return [
             np.log1p(len(words)), float(insult.sum()), insult.sum() / n, float(folded), float(weights.sum()), float(weights.max(initial=0)), float((weights > 0).sum()), float((weights > 0).sum()) / n,
-            float(near), len(second) / n, 1 - len(text.translate(None, UPPER)) / size, sum(w.isupper() and len(w) > 2 for w in raw) / max(len(raw), 1),
-            1 - len(text.translate(None, PUNCTUATION)) / size, len(_RUN.findall(text)) / n, text.count(b"!") / n, len(mixed) / n, float(len(_SPACED.findall(lower))), 1 - len(text.decode(errors="replace")) / size,
+            float(near), len(second) / n, (len(text) - len(text.translate(None, UPPER))) / size, sum(w.isupper() and len(w) > 2 for w in raw) / max(len(raw), 1),
+            (len(text) - len(text.translate(None, PUNCTUATION))) / size, len(_RUN.findall(text)) / n, text.count(b"!") / n, len(mixed) / n, float(len(_SPACED.findall(lower))), (len(text) - len(text.decode(errors="replace"))) / size,
         ]
 
 
@@ -194,17 +194,20 @@ class Model:
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", allowed: Column | None = None, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows for which ``allowed`` (a condition on ``key``) holds.
 
-    Null labels, keys and texts are left out; a key with several labels has their majority (a tie counts as 1). No more
-    than ``sample`` rows come to the driver, as features."""
-    spark = documents.sparkSession
+    Null labels, keys and texts are left out; a key with several labels has their majority (a tie counts as 1), one on
+    several rows the text that hashes lowest; equal texts teach once, with their smallest key. No more than ``sample``
+    rows come to the driver, as features. Empty tables fit a model that scores every text 0. Other columns aren't read."""
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label"))
     if allowed is not None:
         votes = votes.withColumnRenamed("_key", key).where(allowed).withColumnRenamed(key, "_key")
-    votes = votes.groupBy("_key").agg((F.avg("_label") >= 0.5).cast("int").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    votes = materialize(votes)
+    votes = votes.groupBy("_key").agg((F.avg("_label") >= 0.5).cast("int").alias("_label"))
+    votes = materialize(lowest(materialize(votes), F.col("_key"), sample))
     chosen = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(votes), "_key")
-    kept = chosen.groupBy(F.xxhash64("text").alias("_hash")).agg(F.min_by("_key", "_key").alias("_key")).select("_key")
-    chosen = materialize(chosen.join(F.broadcast(materialize(kept)), "_key").dropDuplicates(["_key"]))
+    # One row a key, so that no more than ``sample`` are left, then one a text.
+    chosen = chosen.withColumn("_hash", F.xxhash64("text")).groupBy("_key").agg(F.min("_label").alias("_label"), F.min("_hash").alias("_hash"), F.min_by("text", "_hash").alias("text"))
+    chosen = materialize(chosen)
+    kept = chosen.groupBy("_hash").agg(F.min("_key").alias("_key")).select("_key")
+    chosen = materialize(chosen.join(F.broadcast(kept), "_key"))
 
     # One half of the sample teaches the lexicon, the other the trees, which so see the lexicon as new texts do.
     half = F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2))
@@ -244,7 +247,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def score(documents: DataFrame, model: Model, text: str = "text", keep: float | None = None) -> DataFrame:
     """``documents`` with the column ``score`` (0 to 1) appended, or with ``keep`` the rows that score below it, their
-    columns as they were. One pass, no shuffle. Null texts count as empty; a former column ``score`` is replaced."""
+    columns as they were. One pass, no shuffle. Null texts count as empty; repeated rows score alike; very long texts are
+    read whole; a former column ``score`` is replaced (with ``keep``, kept); an empty table gives an empty one."""
     if keep is None:
         documents = documents.drop("score")
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -92,6 +92,18 @@ def test_decontamination_equals_brute_force(spark, block):
     assert {x.n_hit for x in decontaminate.scan(d, b.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_decontamination_by_rows(spark, block):
+    items = [(None, "alpha beta gamma"), (7, "x y z"), (8, "beta gamma delta"), (None, None)]
+    texts = ["say alpha beta gamma delta", "alpha beta", "x y z", "x y z", None]
+    docs = spark.createDataFrame([(k, t, "a", "b") for k, t in zip([1, 1, 2, None, None], texts)], "doc_id long, text string, row string, n_hit string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(x.doc_id), x.n_words, x.n_hit, x["items"]) for x in decontaminate.scan(docs, b, block_bytes=block).collect())
+    assert got == [("1", 2, 0, []), ("1", 5, 4, ["8"]), ("2", 3, 3, ["7"]), ("None", 0, 0, []), ("None", 3, 3, ["7"])]
+    left = decontaminate.clean(docs, b, block_bytes=block)
+    assert left.columns == docs.columns and sorted(str(x.text) for x in left.collect()) == ["None", "alpha beta"]
+
+
 def test_suffix_array():
     ids = np.array([2, 1, 2, 1, 2, 0])
     assert decontaminate.suffix_array(ids, 6).tolist() == sorted(range(6), key=lambda i: ids[i:].tolist())
@@ -195,15 +207,12 @@ def test_links_join_what_all_links_join(spark, cell):
     assert groups(found) == groups(want)
 
 
-def test_groups_and_dedup(spark, docs, none):
+def test_groups(spark, docs, none):
     got = [(x.doc_id, x.fp, x.component) for x in simhash.groups(docs).collect()]
     assert len(got) == docs.count()
     fps = [(d, f & (1 << 64) - 1) for d, f, _ in got if d is not None]
     want = brute_components(fps)
     assert all(c == want[d] for d, _, c in got if d is not None)
-    kept = [x.doc_id for x in simhash.dedup(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted(set(want.values()))
-    assert simhash.dedup(docs).columns == docs.columns
     assert simhash.groups(none).count() == 0
 
 
