@@ -140,25 +140,41 @@ def _rule_cases(what: int) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, v)[what]}'" for v, h, p in rules) + " END"
 
 
+def _levels(depth: int) -> str:
+    """The tree's levels as common table expressions."""
+    alike = f"CASE WHEN bn = n OR bb = 0 OR bb = bn THEN true ELSE abs(bad / n - (bb - bad) / (bn - n)) - 0.5 * (1 / n + 1 / (bn - n)) < {urlfilter.Z} * sqrt((bb / bn) * (1 - bb / bn) * (1 / n + 1 / (bn - n))) END"
+    return "".join(f"""
+k{d} AS (SELECT host, template, segments[{d}] AS seg, sum(n) AS n, sum(bad) AS bad FROM t{d - 1} WHERE len(segments) >= {d} GROUP BY ALL),
+m{d} AS (SELECT host, template, seg, CASE WHEN n > 0 AND NOT {alike} THEN seg WHEN k > {urlfilter.FANOUT} OR (n > 0 AND k > 1) THEN '*' ELSE seg END AS name
+  FROM (SELECT *, count(*) OVER w AS k, sum(n) OVER w AS bn, sum(bad) OVER w AS bb FROM k{d} WINDOW w AS (PARTITION BY host, template))),
+t{d} AS (SELECT t.host, t.segments, t.n, t.bad, t.pages, CASE WHEN name IS NULL THEN t.template ELSE list_append(t.template, name) END AS template
+  FROM t{d - 1} t LEFT JOIN m{d} m ON t.host = m.host AND t.template = m.template AND t.segments[{d}] = m.seg),""" for d in range(1, depth + 1))
+
+
+_FORM = "array_to_string(segments, '/')"
+_SUFFIX = "array_to_string(l[-{n}:], '.')"
+
 OP9_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 hp AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') AS host,
   coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path FROM u),
 r AS (SELECT *, {_rule_cases(0)} AS rule, {_rule_cases(1)} AS ruled FROM hp),
-paths AS (SELECT host, path, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad,
-  list_transform(list_filter(string_split(path, '/'), lambda x: x != ''), lambda x: regexp_replace(x, '[0-9]+', '*', 'g')) AS segments FROM r GROUP BY host, path),
-children AS (SELECT DISTINCT host, d, array_to_string(segments[1:d - 1], '/') AS parent, segments[d] AS segment FROM (SELECT host, segments, unnest(range(1, len(segments) + 1)) AS d FROM paths)),
-wide AS (SELECT host, d, parent FROM children GROUP BY ALL HAVING count(*) > {urlfilter.FANOUT}),
-placed AS (SELECT host, path, n, bad, list_transform(range(1, len(segments) + 1), lambda d: CASE WHEN list_contains(coalesce(w, []), d || ' ' || array_to_string(segments[1:d - 1], '/')) THEN '*' ELSE segments[d] END) AS s
-  FROM paths LEFT JOIN (SELECT host, list(d || ' ' || parent) AS w FROM wide GROUP BY host) USING (host)),
-t AS (SELECT host, path, n, bad, array_to_string(s[1:len(s) - 1], '/') AS branch, array_to_string(s, '/') AS template FROM placed),
-leaves AS (SELECT host, branch, template, sum(n) AS n, sum(bad) AS bad FROM t GROUP BY ALL),
-sums AS (SELECT *, sum(n) OVER (PARTITION BY host, branch) AS bn, sum(bad) OVER (PARTITION BY host, branch) AS bb, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM leaves) AS p_all FROM leaves),
-grouped AS (SELECT *, CASE WHEN n = 0 OR bn = n OR bb = 0 OR bb = bn OR abs(bad / n - (bb - bad) / (bn - n)) < {urlfilter.Z} * sqrt((bb / bn) * (1 - bb / bn) * (1 / n + 1 / (bn - n))) THEN '*' ELSE template END AS merged FROM sums),
-pure AS (SELECT *, sum(n) OVER (PARTITION BY host, branch, merged) AS gn, sum(bad) OVER (PARTITION BY host, branch, merged) AS gb FROM grouped),
-gone AS (SELECT host, template FROM pure WHERE (gb + {urlfilter.WEIGHT} * ((bb + {urlfilter.WEIGHT} * p_all) / (bn + {urlfilter.WEIGHT}))) / (gn + {urlfilter.WEIGHT}) > 0.5)
+paths0 AS (SELECT host, path, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad, count(*) AS pages,
+  list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x != '') AS s FROM r GROUP BY host, path),
+paths AS (SELECT host, path, n, bad, pages, CASE WHEN len(s) < {urlfilter.DEPTH} THEN s ELSE list_append(s[1:{urlfilter.DEPTH - 1}], array_to_string(s[{urlfilter.DEPTH}:], '/')) END AS segments FROM paths0),
+t0 AS (SELECT host, segments, sum(n) AS n, sum(bad) AS bad, sum(pages) AS pages, CAST([] AS VARCHAR[]) AS template FROM paths GROUP BY host, segments),{_levels(urlfilter.DEPTH)}
+keyed AS (SELECT host, segments, n, bad, level, CASE level WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN {_SUFFIX.format(n=1)} WHEN 3 THEN {_SUFFIX.format(n=2)} ELSE {_SUFFIX.format(n=3)} END AS suffix,
+  CASE level WHEN 0 THEN coalesce(segments[1], '') || '/...' ELSE {_FORM} END AS form FROM (SELECT *, string_split(host, '.') AS l FROM t0), range(5) g(level) WHERE level < 2 OR len(l) >= level),
+seen AS (SELECT level, suffix, form, sum(n) AS sn, sum(bad) AS sb FROM keyed WHERE n > 0 GROUP BY ALL),
+steps AS (SELECT host, segments, max(CASE level WHEN 0 THEN sn END) AS n0, max(CASE level WHEN 0 THEN sb END) AS b0, max(CASE level WHEN 1 THEN sn END) AS n1, max(CASE level WHEN 1 THEN sb END) AS b1,
+  max(CASE level WHEN 2 THEN sn END) AS n2, max(CASE level WHEN 2 THEN sb END) AS b2, max(CASE level WHEN 3 THEN sn END) AS n3, max(CASE level WHEN 3 THEN sb END) AS b3, max(CASE level WHEN 4 THEN sn END) AS n4, max(CASE level WHEN 4 THEN sb END) AS b4
+  FROM keyed LEFT JOIN seen USING (level, suffix, form) GROUP BY host, segments),
+p0 AS (SELECT *, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM t0) AS p FROM steps),
+{"".join(f"p{i + 1} AS (SELECT * REPLACE ((coalesce(b{i}, 0) + {urlfilter.WEIGHT} * p) / (coalesce(n{i}, 0) + {urlfilter.WEIGHT}) AS p) FROM p{i})," for i in range(5))}
+placed AS (SELECT t.*, p AS prior FROM t{urlfilter.DEPTH} t JOIN p5 USING (host, segments)),
+gone AS (SELECT host, template FROM placed GROUP BY host, template HAVING (sum(bad) + {urlfilter.WEIGHT} * (sum(prior * pages) / sum(pages))) / (sum(n) + {urlfilter.WEIGHT}) > 0.5 + 1e-9)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN g.template IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM r JOIN t USING (host, path) LEFT JOIN gone g USING (host, template)
+FROM r JOIN paths USING (host, path) JOIN placed USING (host, segments) LEFT JOIN gone g USING (host, template)
 """
 
 ORACLE_SQL = {"op2_sharding": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}

@@ -1,13 +1,22 @@
 """URL filters: host and path rules, and a path-template tree for the urls that no rule fits.
 
-Template tree, host by host: digits in a path's segments become ``*``; a place below one parent where more than
-``FANOUT`` different segments stand is variable and becomes ``*`` as a whole. Templates of one branch (all but the last
-segment) whose share of blocked labels doesn't differ from their siblings' at ``Z`` are merged. A template is rejected
-if its share of blocked labels, smoothed towards its branch's and that towards the whole's, is above one half.
-Labels are the verdicts of the rules, or a label column of the caller's.
+Template tree, host by host and from the top: digits in a path's segments become ``*``. Below one template, where more
+than ``FANOUT`` different segments stand, the segment is variable and becomes ``*``; where fewer stand, branches whose
+share of blocked labels doesn't differ from their siblings' at ``Z`` (two proportions, corrected for continuity) are
+merged into one ``*``. A segment whose share
+does differ keeps its name, and so does one without labels where few stand. The next level is judged below the
+generalised templates, so the children of a ``*`` are pooled.
+
+A template is rejected if its share of blocked labels, smoothed, is above one half. It is smoothed towards what other
+hosts show for its paths: the share of paths with the same first segment on all hosts, then of the same shape (the path
+with digits starred) on all hosts, then on the hosts of its last label, last two and last three labels, each smoothed
+towards the one before. So a host without a single label is judged by its likes. Labels are the verdicts of the rules,
+or a label column of the caller's.
+
+The tree is ``DEPTH`` levels deep: what follows in a path is one last segment.
 
 Only built-in functions; distinct (host, path) pairs are counted before anything is joined, so a host that holds a
-large part of the pages is as many rows as it has paths, and no window spans more than the templates of one branch.
+large part of the pages is as many rows as it has paths, and no window spans a host.
 """
 
 from __future__ import annotations
@@ -15,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize
+from quillstack.llm.common import discard, materialize
 
 #: (verdict, host, start of the path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-FANOUT, Z, WEIGHT = 16, 1.96, 2.0
+DEPTH, FANOUT, Z, WEIGHT = 8, 16, 1.96, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,29 +51,53 @@ def longest_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def rejected(paths: DataFrame, fanout: int = FANOUT, z: float = Z, weight: float = WEIGHT) -> DataFrame:
-    """(host, path) of rejected templates, from distinct (host, path, n, bad): labels and blocked ones among them."""
-    starred = F.expr("transform(filter(split(path, '/'), x -> x != ''), x -> regexp_replace(x, '[0-9]+', '*'))")
-    paths = paths.select("host", "path", "n", "bad", starred.alias("segments"))
-    shapes = paths.groupBy("host", "segments").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    nodes = shapes.select("host", "segments", "n", "bad", F.posexplode_outer("segments").alias("depth", "segment"))
-    nodes = nodes.withColumn("parent", F.expr("array_join(slice(segments, 1, coalesce(depth, 0)), '/')"))
-    children = nodes.where("segment IS NOT NULL").select("host", "depth", "parent", "segment").distinct()
-    wide = children.groupBy("host", "depth", "parent").agg(F.count("*").alias("k")).where(F.col("k") > fanout).select("host", "depth", "parent", F.lit("*").alias("any"))
-    placed = nodes.join(wide, ["host", "depth", "parent"], "left")
-    placed = placed.groupBy("host", "segments").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.array_sort(F.collect_list(F.when(F.col("depth").isNotNull(), F.struct("depth", F.coalesce("any", "segment").alias("s"))))).alias("s"))
-    placed = placed.select("host", "segments", "n", "bad", F.expr("array_join(transform(slice(s, 1, greatest(size(s) - 1, 0)), x -> x.s), '/')").alias("branch"), F.expr("array_join(transform(s, x -> x.s), '/')").alias("template"))
-    leaves = placed.groupBy("host", "branch", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    sums = leaves.selectExpr("*", "sum(n) OVER (PARTITION BY host, branch) AS bn", "sum(bad) OVER (PARTITION BY host, branch) AS bb", f"{(bad + 1) / (n + 2)!r}D AS p_all")
+def segments(path: str) -> str:
+    """SQL of a path's segments, digits starred, those from the DEPTH-th on as one."""
+    found = f"filter(split(regexp_replace({path}, '[0-9]+', '*'), '/'), x -> x != '')"
+    return f"transform({found}, (x, i) -> CASE WHEN i < {DEPTH - 1} THEN x WHEN i = {DEPTH - 1} THEN array_join(slice({found}, {DEPTH}, size({found})), '/') END)"
+
+
+def grow(shapes: DataFrame, depth: int, fanout: int, z: float) -> DataFrame:
+    """The shapes (host, segments, n, bad, pages) with their templates, level by level."""
+    state = shapes.withColumn("template", F.expr("cast(array() AS array<string>)"))
     spread = "((bb / bn) * (1 - bb / bn) * (1D / n + 1D / (bn - n)))"
-    alike = f"CASE WHEN n = 0 OR bn = n OR bb = 0 OR bb = bn THEN true ELSE abs(bad / n - (bb - bad) / (bn - n)) < {z}D * sqrt({spread}) END"
-    grouped = sums.selectExpr("*", f"CASE WHEN {alike} THEN '*' ELSE template END AS merged")
-    grouped = grouped.selectExpr("host", "branch", "template", "p_all", "bn", "bb", "sum(n) OVER (PARTITION BY host, branch, merged) AS gn", "sum(bad) OVER (PARTITION BY host, branch, merged) AS gb")
-    purity = f"(gb + {weight}D * ((bb + {weight}D * p_all) / (bn + {weight}D))) / (gn + {weight}D)"
-    gone = grouped.where(f"{purity} > 0.5D").select("host", "template")
-    shapes_gone = placed.join(gone, ["host", "template"], "left_semi").select("host", "segments")
-    return paths.join(shapes_gone, ["host", "segments"], "left_semi").select("host", "path")
+    alike = f"CASE WHEN bn = n OR bb = 0 OR bb = bn THEN true ELSE abs(bad / n - (bb - bad) / (bn - n)) - 0.5D * (1D / n + 1D / (bn - n)) < {z}D * sqrt({spread}) END"
+    for d in range(1, depth + 1):
+        state = state.withColumn("seg", F.expr(f"get(segments, {d - 1})"))
+        kids = materialize(state.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+        sums = kids.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("bn"), F.sum("bad").alias("bb"))
+        named = kids.join(sums, ["host", "template"])
+        named = named.selectExpr("host", "template", "seg", f"CASE WHEN n > 0 AND NOT {alike} THEN seg WHEN k > {fanout} OR (n > 0 AND k > 1) THEN '*' ELSE seg END AS name")
+        after = state.join(named, ["host", "template", "seg"], "left").withColumn("template", F.expr("CASE WHEN name IS NULL THEN template ELSE concat(template, array(name)) END"))
+        after = materialize(after.select(*shapes.columns, "template"))
+        discard(state, kids)
+        state = after
+    return state
+
+
+def priors(shapes: DataFrame, share: float, weight: float) -> DataFrame:
+    """(host, segments, prior): what all hosts show for a shape, from the most general to the nearest."""
+    form = "array_join(segments, '/')"
+    last = lambda n: f"struct({n + 1} AS level, array_join(slice(l, -{n}, {n}), '.') AS suffix, {form} AS form)"
+    keys = f"array(struct(0 AS level, '' AS suffix, concat(coalesce(get(segments, 0), ''), '/...') AS form), struct(1 AS level, '' AS suffix, {form} AS form), {last(1)}, {last(2)}, {last(3)})"
+    rows = shapes.withColumn("l", F.expr("split(host, '[.]')")).selectExpr("host", "segments", "n", "bad", f"explode(filter({keys}, k -> k.level < 2 OR size(l) >= k.level)) AS k").selectExpr("host", "segments", "n", "bad", "k.*")
+    seen = rows.where("n > 0").groupBy("level", "suffix", "form").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sb"))
+    met = rows.join(seen, ["level", "suffix", "form"], "left")
+    found = met.groupBy("host", "segments").agg(F.array_sort(F.collect_list(F.when(F.col("sn") > 0, F.struct("level", "sn", "sb")))).alias("steps"))
+    return found.selectExpr("host", "segments", f"aggregate(steps, {share!r}D, (p, s) -> (s.sb + {weight}D * p) / (s.sn + {weight}D)) AS prior")
+
+
+def rejected(paths: DataFrame, fanout: int = FANOUT, z: float = Z, weight: float = WEIGHT) -> DataFrame:
+    """(host, path) of rejected templates, from distinct (host, path, n, bad, pages): labels, blocked ones among them, and
+    rows."""
+    paths = materialize(paths.withColumn("segments", F.expr(segments("path"))).withColumn("segments", F.expr("filter(segments, x -> x IS NOT NULL)")))
+    shapes = materialize(paths.groupBy("host", "segments").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages")))
+    n, bad, depth = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.max(F.size("segments")), F.lit(0))).first()
+    placed = grow(shapes, depth, fanout, z).join(priors(shapes, (bad + 1) / (n + 2), weight), ["host", "segments"])
+    placed = materialize(placed)
+    sums = placed.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), (F.sum(F.col("prior") * F.col("pages")) / F.sum("pages")).alias("prior"))
+    gone = sums.where(f"(bad + {weight}D * prior) / (n + {weight}D) > 0.5D + 1e-9D").select("host", "template")
+    return paths.join(placed.join(gone, ["host", "template"], "left_semi").select("host", "segments"), ["host", "segments"], "left_semi").select("host", "path")
 
 
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, blocked: Column | None = None) -> DataFrame:
@@ -72,15 +105,14 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES,
     label), in place of the rules' verdicts.
 
     Null urls and urls without ``://`` have an empty host and path and are judged like any other; equal urls get equal
-    verdicts; null keys and repeated rows keep their rows; an empty table gives an empty one. Other columns aren't read
-    unless ``blocked`` reads them."""
+    verdicts; null keys and repeated rows keep their rows; very long urls are read whole; an empty table gives an empty
+    one. Other columns aren't read unless ``blocked`` reads them."""
     host, path = host_and_path(url)
-    rows = pages.withColumns({"_host": host, "_path": path, "_blocked": F.lit(None).cast("boolean") if blocked is None else blocked})
-    rows = rows.select(F.col(key).alias("key"), F.col("_host").alias("host"), F.col("_path").alias("path"), "_blocked")
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), (F.lit(None).cast("boolean") if blocked is None else blocked).alias("_blocked"))
     rule, verdict = longest_rule(rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     label = F.col("ruled") == "block" if blocked is None else F.col("_blocked")
-    paths = materialize(rows.groupBy("host", "path").agg(F.count(label).alias("n"), F.count(F.when(label, 1)).alias("bad")))
+    paths = materialize(rows.groupBy("host", "path").agg(F.count(label).alias("n"), F.count(F.when(label, 1)).alias("bad"), F.count("*").alias("pages")))
     gone = rejected(paths).withColumn("gone", F.lit(True))
     out = rows.join(gone, ["host", "path"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("gone"), "block").otherwise("allow"))
