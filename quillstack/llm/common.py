@@ -61,6 +61,11 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def written() -> int:
+    """Number of tables that are written and not deleted."""
+    return len(_WRITTEN)
+
+
 def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
     """Delete the tables written after the first ``since``, but for that of ``keep``, once no result needs them."""
     spared = _PATHS.get(keep) if keep is not None else None

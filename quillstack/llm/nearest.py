@@ -4,10 +4,15 @@ Coarse centroids and sub-space codebooks are fitted to a bounded sample of vecto
 lowest); every vector is indexed: its cell and the codes of its residual. A query probes the cells nearest to it. In a
 cell, asymmetric distance tables of the query's own residual give a shortlist, which is reranked by exact distance.
 
+How many cells a query probes is measured, not fixed: as many as hold ``TARGET`` of the true neighbours of some sample
+vectors among the sample. The sample is thinner than the table, so neighbours in it are further off and the number errs
+upwards. Vectors in clusters need few cells, so that a query meets a share of the table that falls as cells grow in
+number; vectors without any structure need most cells at any size, and the work is then queries times vectors.
+
 Copies of a vector are one entry of the index with their ``k + 1`` smallest keys, which is all that ties to smaller
 keys can ask for. A cell is dealt into blocks of about the square root of the number of vectors, and its queries into
-blocks too, so no task holds a large cell; nothing is capped. Cells number the square root of the vectors, so a query
-meets a share of the vectors that falls as they grow, and what is broadcast is centroids and codebooks of bounded size.
+blocks too, so no task holds a large cell; nothing is capped. What is broadcast is centroids and codebooks of bounded
+size. Vectors of different lengths have no distance: each length is a space of its own.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, ranges
+from quillstack.llm.common import lowest, materialize, ranges
 
-SAMPLE, CELLS, PROBES, SHORTLIST = 16_384, 4096, 0.65, 64
+SAMPLE, CELLS, TARGET, SHORTLIST = 16_384, 4096, 0.95, 128
+#: Sample vectors that ask when the number of probes is measured.
+ASKED = 256
 SUBSPACES, WORDS = 16, 256
 
 
@@ -72,6 +79,19 @@ class Index:
         residual = self.pad(q - self.centroids[cell])
         return np.stack([distances(residual[:, s], self.books[s]) for s in range(self.subspaces)], 1)
 
+    def share(self, sample: np.ndarray, k: int, target: float) -> float:
+        """The share of cells, nearest first, that hold ``target`` of the ``k`` nearest sample vectors of some of them."""
+        asked = sample[:ASKED]
+        d = distances(asked, sample)
+        d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        near = np.argpartition(d, k - 1, 1)[:, :k]
+        rank = np.argsort(np.argsort(distances(asked, self.centroids), 1), 1)
+        cell = distances(sample, self.centroids).argmin(1)
+        return float(np.quantile(np.take_along_axis(rank, cell[near], 1), target) + 1) / len(self.centroids)
+
     def probes(self, q: np.ndarray, sizes: np.ndarray, share: float, least: int) -> list[np.ndarray]:
         """The cells that each query probes: the nearest ones that hold ``share`` of all cells, and more until they hold
         ``least`` vectors."""
@@ -91,19 +111,26 @@ def usable(vector: str) -> Column:
     return F.expr(f"coalesce(size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('Infinity')) AND exists({vector}, x -> x != 0), false)")
 
 
-def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, target: float = TARGET, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, key, score): for each row where ``is_query`` holds, its ``k`` nearest other rows found by Euclidean
     distance in double precision, nearest first, ties to smaller keys; fewer where there are fewer.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length
-    isn't the most common one, nor null keys. Rows that repeat a key and its vector count once. No vectors, no rows."""
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null keys; vectors are
+    compared with those of their length. Rows that repeat a key and its vector count once. Other columns aren't read.
+    No vectors, no rows."""
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    names = "query_id long, rank int, " + f"{key} long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], names)
-    rows = rows.where(F.size("v") == lengths["n"])
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).agg(F.max("q").alias("q")).where("q").orderBy("n").collect()]
+    found = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    spaces = [search_space(rows.where(F.size("v") == n), key, k, target, shortlist) for n in lengths]
+    for space in spaces[1:]:
+        spaces[0] = spaces[0].unionAll(space)
+    return spaces[0] if spaces else found
+
+
+def search_space(rows: DataFrame, key: str, k: int, target: float, shortlist: int) -> DataFrame:
+    """``search`` among rows (id, v, q) with vectors of one length."""
+    spark = rows.sparkSession
     order = "row_number() OVER (PARTITION BY v ORDER BY id)"
     kept = rows.select("id", "v").distinct().withColumn("r", F.expr(order)).where(F.col("r") <= k + 1)
     entries = materialize(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
@@ -111,8 +138,9 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     distinct = materialize(asked.groupBy("v").agg(F.min("query_id").alias("qid")))
 
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("v").toArrow()
-    index = Index(matrix(sample.column("v").combine_chunks()), total)
+    sample = matrix(lowest(entries, F.col("ids")[0], SAMPLE).select("v").toArrow().column("v").combine_chunks())
+    index = Index(sample, total)
+    share = index.share(sample, k, target)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):

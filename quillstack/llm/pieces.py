@@ -21,10 +21,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstack.llm.common import Memo, extended, slices
+from quillstack.llm.common import Memo, extended, parts, ranges
 
 BLANK = "▁"
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -71,6 +72,7 @@ class Pieces:
                 self.text[i] = ""
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = chr(b) if b < 128 else chr(0xDC00 + b)
+        self.spelled = pa.array([t.encode("utf-8", "surrogateescape") for t in self.text], pa.binary())
         self.longest = max(map(len, chosen))
         keys = np.array([self.hash_of(p) for p in chosen], np.uint64)
         order = np.argsort(keys)
@@ -130,18 +132,34 @@ class Pieces:
                     out[i] = ids
         return out
 
-    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each of the words by the model's merges."""
-        out: list = [()] * len(words)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for size, rows in by.items():
-            for at in range(0, len(rows), max(1, STEP // size)):
-                part = rows[at : at + max(1, STEP // size)]
-                for i, places in zip(part, (self.merge_long if size > LONG else self.merge)([words[i] for i in part], size)):
-                    out[i] = self.ids_of(places)
-        return out
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of each word) by the model's merges."""
+        sizes, made, odd = np.zeros(len(words), np.int64), [], {}
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            size = int(lengths[order[a]])
+            for at in range(a, b, max(1, STEP // size)):
+                part = order[at : min(b, at + max(1, STEP // size))]
+                chosen = [words[i] for i in part.tolist()]
+                if size > LONG:
+                    odd.update(zip(part.tolist(), map(self.ids_of, self.merge_long(chosen, size))))
+                    continue
+                for rows, places in self.merge(chosen, size):
+                    bare = (places < 0).any(1)
+                    odd.update(zip(part[rows[bare]].tolist(), map(self.ids_of, places[bare].tolist())))
+                    made.append((part[rows[~bare]], self.ids[places[~bare]]))
+                    sizes[made[-1][0]] = places.shape[1]
+        for i, ids in odd.items():
+            sizes[i] = len(ids)
+        begin = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        for rows, ids in made:
+            flat[begin[rows][:, None] + np.arange(ids.shape[1])] = ids
+        for i, ids in odd.items():
+            flat[begin[i] : begin[i] + len(ids)] = ids
+        return flat, sizes
 
     def ids_of(self, places: list[int]) -> tuple[int, ...]:
         """Ids of places in the table; a character c without a piece is the place -1 - c."""
@@ -165,17 +183,18 @@ class Pieces:
         some = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
         return self.pair_union[at], np.where(some, self.scores[self.pair_union[at]], -np.inf)
 
-    def merge(self, words: list[str], size: int) -> list[list[int]]:
-        """Places of words of one length: in each step the best pair of every word that has one."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge(self, words: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length, as (words, their places) of each number of places: in each step the best pair of
+        every word that has one."""
+        out = []
         live, row = np.arange(len(words)), self.characters(words, size)
         union, score = self.unions(row[:, :-1], row[:, 1:])
         while len(live):
             n, m = row.shape
             best = score.argmax(1) if m > 1 else np.zeros(n, np.int64)
             more = score[np.arange(n), best] > -np.inf if m > 1 else np.zeros(n, bool)
-            for i, places in zip(live[~more].tolist(), row[~more].tolist()):
-                out[i] = places
+            if not more.all():
+                out.append((live[~more], row[~more]))
             live, row, union, score, best = live[more], row[more], union[more], score[more], best[more]
             if not len(live):
                 break
@@ -277,36 +296,93 @@ class Pieces:
         return text[1:]
 
 
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of runs of ids, the first from ``ends[0]`` to ``ends[1]``; ids of valid texts, as ``encode`` gives."""
+        found = self.spelled.take(pa.array(ids))
+        offsets = np.frombuffer(found.buffers()[1], np.int32, len(ids) + 1)[ends] if len(ids) else np.zeros(len(ends), np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), found.buffers()[2]])
+        return pa.compute.utf8_slice_codeunits(whole.cast(pa.string()), 1)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
 
 
 class Encoder:
-    """Encodes texts; words that were seen before are remembered."""
+    """Encodes texts; words that were seen before are remembered, as a row of ids with each word's place in it."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
-
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of each text)."""
-        known = self.known
-        split = [self.pieces.words(t) if t else [] for t in texts]
-        new = list({w for s in split for w in s if w not in known})
-        if new:
-            known.update(zip(new, (self.pieces.merged if self.pieces.merges else self.pieces.segment)(new)))
-        lists = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
-        if len(known) > KNOWN:
-            known.clear()
-        counts = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+        self.pieces, self.known = pieces, Memo(KNOWN)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.ids, self.place, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words as UTF-8 without their first blank mark: further blanks, then a word, or blanks alone."""
+        marked = [BLANK + w.decode().replace(BLANK, OWN_BLANK).replace(" ", BLANK) for w in words]
+        if self.pieces.merges:
+            ids, sizes = self.pieces.merged(marked)
+        else:
+            lists = self.pieces.segment(marked)
+            sizes = np.array([len(x) for x in lists], np.int64)
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        n = len(self.known)
+        self.known.learn(words, range(n, n + len(words)))
+        self.place = np.concatenate((self.place, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.ids = np.concatenate((self.ids, ids))
+        self.size = np.concatenate((self.size, sizes))
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of each text). A blank in front of a word is its own; of several, the others
+        are part of the word too, and blanks at the end of a text are a word."""
+        if self.known.full:
+            self.clear()
+        filled = pa.compute.fill_null(texts, "")
+        empty = pa.compute.equal(filled, "").to_numpy(zero_copy_only=False)
+        lists = pa.compute.split_pattern(filled, " ")
+        cut = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        index, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+        text = np.repeat(np.arange(len(cut)), cut)
+        keep = ~empty[text]
+        blank = distinct.index(b"") if b"" in distinct else -1
+        gaps = np.flatnonzero((index == blank) & keep)
+        if len(gaps):
+            # A run of gaps goes to the word behind it, in the same text, or is a word at the text's end.
+            last = np.cumsum(cut) - 1
+            head = gaps[np.concatenate(([True], (np.diff(gaps) > 1) | (np.diff(text[gaps]) > 0)))]
+            run = np.diff(np.concatenate((np.searchsorted(gaps, head), [len(gaps)])))
+            behind = head + run
+            inside = behind <= last[text[head]]
+            place = {w: i for i, w in enumerate(distinct)}
+            keep[gaps] = False
+            for at, n, go in zip(np.where(inside, behind, head).tolist(), run.tolist(), inside.tolist()):
+                word = b" " * n + distinct[index[at]] if go else b" " * (n - 1)
+                if word not in place:
+                    place[word] = len(distinct)
+                    distinct.append(word)
+                index[at], keep[at] = place[word], True
+        used = np.unique(index[keep])
+        words = [distinct[i] for i in used.tolist()]
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        number = np.zeros(len(distinct), np.int64)
+        number[used] = [self.known[w] for w in words]
+        found = number[index[keep]]
+        size = self.size[found]
+        counts = np.bincount(text[keep], size, len(cut)).astype(np.int64)
+        return self.ids[ranges(self.place[found], size)], counts
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``documents`` with ``ids`` (array of int) appended, and with ``decoded`` the text that the ids give back.
 
-    Null and empty texts have no ids and decode to ''. Former columns of the new names are replaced. One pass over
-    whole texts, no shuffle. ``path`` is a model file that every executor can open."""
+    Null and empty texts have no ids and decode to ''; repeated rows are encoded alike; very long texts are read whole;
+    an empty table gives an empty one. Former columns of the new names are replaced. One pass over whole texts, no
+    shuffle. ``path`` is a model file that every executor can open."""
     documents = documents.drop(ids, *([decoded] if decoded else []))
     schema = extended(documents, ids, T.ArrayType(T.IntegerType()))
     if decoded:
@@ -315,20 +391,20 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
     def run(batches):
         pieces = load(path)
         encoder = Encoder(pieces)
-        for batch, texts in slices(batches, text):
-            flat, counts = encoder.flat([t.decode() for t in texts])
+        for batch in parts(batches, text):
+            flat, counts = encoder.flat(batch.column(batch.schema.get_field_index(text)))
             ends = np.concatenate(([0], np.cumsum(counts)))
             batch = batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
             if decoded:
-                all_ids = flat.tolist()
-                batch = batch.append_column(decoded, pa.array([pieces.decode(all_ids[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string()))
+                batch = batch.append_column(decoded, pieces.joined(flat, ends))
             yield batch
 
     return documents.mapInArrow(run, schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``frame`` with the text of its ``ids``; null ids give null."""
+    """``frame`` with the text of its ``ids``; null ids give null. A former column ``text`` is replaced; repeated rows
+    decode alike; an empty table gives an empty one."""
     frame = frame.drop(text)
 
     def run(batches):

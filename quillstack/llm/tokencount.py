@@ -17,6 +17,7 @@ are compiled when they are first met and kept in a bounded table; distinct pre-t
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -146,7 +147,9 @@ class Merger:
         pre = whole["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or whole["normalizer"] or not all(len(s["content"]) for s in whole["added_tokens"]):
             raise ValueError("not a byte-level BPE vocabulary of the kind that is known here")
-        self.special = [s["content"] for s in whole["added_tokens"]]
+        #: Special strings, the longest first, so that the leftmost and there the longest one is taken.
+        special = sorted((s["content"].encode() for s in whole["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         ids = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if all(c in letters for c in w)}
         self.bytes_of = {i: b for b, i in ids.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
@@ -169,7 +172,7 @@ class Merger:
                 node = self.child[key]
             self.token[node] = i
         self.fits: dict[int, bool] = {}
-        self.known: dict[bytes, int] = {}
+        self.known = Memo(KNOWN)
         self.reset()
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -290,11 +293,7 @@ class Merger:
         segments, owner = [], []
         out = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            parts = [t]
-            for s in self.special:
-                s = s.encode()
-                if s in t:
-                    parts = [x for p in parts for x in p.split(s)]
+            parts = self.special.split(t) if self.special else [t]
             out[i] = len(parts) - 1
             segments += parts
             owner += [i] * len(parts)
@@ -308,10 +307,10 @@ class Merger:
         # A part ends where the next one starts, or at its segment's separator.
         stop = np.minimum(np.append(begin[1:], len(codes)), ends[np.searchsorted(ends, begin)]) if len(begin) else begin
         words = [joined[a:b] for a, b in zip(offset[begin].tolist(), offset[stop].tolist())]
-        if len(self.known) > KNOWN:
+        if self.known.full:
             self.known.clear()
         new = list({w for w in words if w not in self.known})
-        self.known.update(zip(new, self.counts(new)))
+        self.known.learn(new, self.counts(new))
         got = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return out + np.bincount(np.array(owner)[np.searchsorted(ends, begin)] if len(begin) else [], got, len(texts)).astype(np.int64)
 
@@ -324,8 +323,9 @@ def load(path: str) -> Merger:
 def count(documents: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """``documents`` with the number of tokens (long) of each whole text, without begin, end or padding tokens.
 
-    Null and empty texts have none; a former column of the name is replaced; one pass, no shuffle. ``path`` is a
-    vocabulary file that every executor can open."""
+    Null and empty texts have none; repeated rows count alike; very long texts are read whole; a former column of the
+    name is replaced; an empty table gives an empty one. One pass, no shuffle. ``path`` is a vocabulary file that every
+    executor can open."""
     documents = documents.drop(n_tokens)
 
     def run(batches):

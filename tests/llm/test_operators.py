@@ -235,6 +235,17 @@ def test_token_counts_equal_the_library(spark):
     assert tokencount.count(d.limit(0), path).count() == 0
 
 
+def test_overlapping_special_strings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, merger = Tokenizer.from_file(path), tokencount.Merger(path)
+    library.add_special_tokens(["<a><b>", "<b><c>", "<a>"])
+    merger.special = tokencount.re.compile(b"<a><b>|<b><c>|<a>|" + tokencount.re.escape(b"<|endoftext|>"))
+    texts = ["x<a><b><c>y", "<b><c><a><b>", "<a><a><b>", "<a><|endoftext|><b><c> z"]
+    assert merger.of([t.encode() for t in texts]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_merger_survives_a_full_table():
     path = public_tokenizers.path("byte_bpe_50k.json")
     words = [w.encode() for w in ("token", " tokens", "tokenization", "aaaaaaaaa", " unhappily", "zzzqx")]
@@ -341,6 +352,33 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_recall_on_a_whole_table(spark):
+    """The production setting on sf0.1: at least 0.9 of the true neighbours, and ids, ranks and distances that fit."""
+    from quillstack.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = [r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding and any(r.embedding)]
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got: dict = {}
+    for r in queries.op1_nearest(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = total = 0
+    for at in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        best = [int(ids[i]) for i in np.lexsort((ids, d)) if i != at][:10]
+        found = [got[ids[at]][n] for n in range(1, 11)]
+        assert found == sorted(found, key=lambda f: (f[1], f[0])) and all(s == pytest.approx(d[np.flatnonzero(ids == i)[0]]) for i, s in found)
+        hits, total = hits + len({i for i, _ in found} & set(best)), total + 10
+    assert hits >= 0.9 * total
+
+
+def test_lengths_are_spaces_of_their_own(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest.search(df, F.col("vec_id").isin(0, 10)).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (10, 1, 11), (10, 2, 12), (10, 3, 13)]
+
+
 def test_release(spark):
     import os
 
@@ -349,8 +387,23 @@ def test_release(spark):
     df = common.materialize(spark.range(5))
     path = common._WRITTEN[-1]
     assert df.count() == 5 and os.path.isdir(path)
+    since, kept = len(common._WRITTEN), common.materialize(df)
+    common.discard(df, spark.range(3))
+    assert not os.path.exists(path) and kept.count() == 5
+    common.release(spark, since - 1, keep=kept)
+    assert kept.count() == 5
     common.release(spark)
-    assert not os.path.exists(path) and not common._WRITTEN
+    assert not common._WRITTEN
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillstack.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://x")))
 
 
 # URL filters.
