@@ -79,13 +79,10 @@ def nostop(c: Column) -> Column:
 
 
 def alpha_suffix(n: Column) -> Column:
-    """0 is a, 25 z, 26 aa: digits from a up, of as many places as it takes (four at most)."""
+    """0 is a, 25 z, 26 aa: digits from a up, of as many places as a long number takes."""
     letter = lambda x: F.char(97 + F.pmod(x, F.lit(26)))
-    out, rest = letter(n), n
-    for _ in range(3):
-        rest = F.when(rest >= 26, F.floor(rest / 26) - 1).otherwise(-1)
-        out = F.concat(F.when(rest >= 0, letter(rest)).otherwise(""), out)
-    return out
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(13)), F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out")), lambda a, _: F.when(a["rest"] < 0, a).otherwise(F.struct((F.floor(a["rest"].cast("decimal(20, 0)") / 26) - 1).cast("bigint").alias("rest"), F.concat(letter(a["rest"]), a["out"]).alias("out"))))
+    return state["out"]
 
 
 def sanitize(c: Column, n: int = 64) -> Column:

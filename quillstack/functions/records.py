@@ -28,9 +28,6 @@ TYPES = {
 }
 #: A catalogue's own type names.
 CATALOGUE_TYPES = {"journal-article": "article-journal", "proceedings-article": "paper-conference", "book-chapter": "chapter"}
-#: Entry type to export type where the container doesn't decide, and where it does.
-EXPORT_TYPES = {"article": ("article", "blog", "newspaper", "periodical"), "book": ("book", "anthology"), "inbook": ("chapter", "entry"), "proceedings": ("proceedings",), "thesis": ("thesis",), "report": ("report",), "unpublished": ("manuscript",), "online": ("web", "misc"), "patent": ("patent",)}
-EXPORT_PARENTS = {("article", "proceedings"): "inproceedings", ("article", "anthology"): "incollection", ("chapter", "anthology"): "incollection"}
 
 
 def collapse(c: Column) -> Column:
@@ -108,15 +105,6 @@ def catalogue_type(kind: Column) -> Column:
     return F.coalesce(_lookup(kind, {v: [k] for k, v in CATALOGUE_TYPES.items()}, kind), F.lit("article-journal"))
 
 
-def export_type(kind: Column, parent: Column) -> Column:
-    """Export entry type of an entry and its container's type."""
-    out = None
-    for (a, b), v in EXPORT_PARENTS.items():
-        condition = (kind == a) & (parent == b)
-        out = F.when(condition, v) if out is None else out.when(condition, v)
-    return out.otherwise(_lookup(kind, EXPORT_TYPES, "misc"))
-
-
 def page_range(c: Column) -> Column:
     return F.regexp_replace(F.replace(F.translate(c, DASHES, "-----"), F.lit("--"), F.lit("-")), WS + "+", "")
 

@@ -15,7 +15,7 @@ def candidate(base: Column, n: Column, policy: str) -> Column:
     return F.when(n < 0, base).otherwise(F.concat(base, suffix))
 
 
-def disambiguate(claims: DataFrame, taken: DataFrame, policy: str = "alpha", rounds: int = 1000) -> DataFrame:
+def disambiguate(claims: DataFrame, taken: DataFrame, policy: str = "alpha") -> DataFrame:
     """(base, ord, key) for claims (base, ord; ord unique) against the keys of ``taken`` (citekey).
 
     The outcome is that of serving claims one after another by ``ord``. Within a base the r-th claim can't do better than
@@ -25,7 +25,7 @@ def disambiguate(claims: DataFrame, taken: DataFrame, policy: str = "alpha", rou
     n = F.row_number().over(W.partitionBy("base").orderBy("ord")).cast("bigint") - 2
     state = claims.select("base", "ord").withColumn("n", n)
     used = taken.select(F.col("citekey").alias("key"), F.lit(True).alias("used")).distinct()
-    for _ in range(rounds):
+    while True:
         tried = state.withColumn("key", candidate(F.col("base"), F.col("n"), "alpha" if policy == "error" else policy)).join(used, "key", "left")
         first = F.min(F.when(F.col("used").isNull(), F.col("ord"))).over(W.partitionBy("key"))
         tried = tried.withColumn("free", F.col("used").isNull() & (F.col("ord") == first)).drop("used").persist()
@@ -35,7 +35,6 @@ def disambiguate(claims: DataFrame, taken: DataFrame, policy: str = "alpha", rou
         if not lost:
             return tried.select("base", "ord", "key")
         state = tried.select("base", "ord", F.when(F.col("free"), F.col("n")).otherwise(F.col("n") + 1).alias("n"))
-    raise RuntimeError("keys still collide")
 
 
 def new_documents(incoming: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

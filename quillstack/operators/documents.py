@@ -76,7 +76,7 @@ def body_fields(records: DataFrame, key: str) -> DataFrame:
     kind, holder = rec.entry_type(F.col("kind")), rec.parent_type(F.col("kind"))
     text = lambda c: rec.collapse(F.col(c))
     json = lambda c: F.when(c.isNotNull(), F.to_json(F.array(c)))
-    names = F.filter(F.transform("authors", lambda a: rec.name(a["literal"], a["family"], a["given"], F.lit(None), F.lit(None))), lambda x: x.isNotNull())
+    names = F.filter(F.transform("authors", lambda a: rec.name(a["literal"], a["family"], a["given"], a["suffix"], a["particle"])), lambda x: x.isNotNull())
     publisher = F.when(text("publisher_place").isNotNull() & text("publisher").isNotNull(), F.to_json(F.struct(text("publisher").alias("name"), text("publisher_place").alias("location")))).otherwise(json(text("publisher")))
     serial = F.to_json(F.struct(F.lower(F.when(ids.strip(F.col("doi")) != "", ids.strip(F.col("doi")))).alias("doi"), text("isbn").alias("isbn")))
     inside = F.struct(holder.alias("type"), text("container").alias("title"), text("volume").alias("volume"), text("issue").alias("issue"), text("issn").alias("issn"), text("publisher").alias("publisher"))

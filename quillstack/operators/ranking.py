@@ -20,6 +20,14 @@ class Wanted:
     limit: int = 10
 
 
+def union(answers: list[DataFrame]) -> DataFrame:
+    """All candidates of all providers, repeated ones included."""
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def first_by_identifier(candidates: DataFrame) -> DataFrame:
     """One candidate for each identifier, the first in the order of providers; those without one all stay."""
     w = W.partitionBy("id").orderBy("provider_ord", "pos")

@@ -82,8 +82,7 @@ scalar("f_19_repair", "documents", "doc_id", "concat(coalesce(text, ''), ' ﬁne
 scalar("f_20_join_lines", "part", "p_partkey", "concat(p_name, '- \n  ', CASE WHEN p_partkey % 2 = 0 THEN 'joined' ELSE 'Kept' END)", tx.join_broken_lines, "CASE WHEN p_partkey % 2 = 0 THEN p_name || 'joined' ELSE p_name || '- \n  Kept' END")
 scalar("f_21_squeeze", "documents", "doc_id", "coalesce(text, '')", lambda x: F.sha2(tx.squeeze(x).cast("binary"), 256), r"sha256(regexp_replace(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', '', 'g'))")
 scalar("f_23_before_references", "part", "p_partkey", "concat(p_name, '\n', CASE WHEN p_partkey % 3 = 0 THEN ' 7. References:' WHEN p_partkey % 3 = 1 THEN 'LITERATUR' ELSE 'references here' END, '\n[1] x')", tx.before_references, "CASE WHEN p_partkey % 3 < 2 THEN p_name || '\n' ELSE x END")
-scalar("s_22_pages", "documents", "doc_id", "concat(substr(coalesce(text, ''), 1, 40), chr(12), source, chr(12), lang)", identify.pages_of, "string_split(x, chr(12))")
-scalar("s_22_pages_whole", "documents", "doc_id", "concat(coalesce(text, ''), chr(12), source, chr(12), lang)", lambda x: F.transform(identify.pages_of(x), lambda p: F.sha2(p.cast("binary"), 256)), "list_transform(string_split(x, chr(12)), lambda p: sha256(p))")
+scalar("s_22_pages", "documents", "doc_id", "concat(coalesce(text, ''), chr(12), source, chr(12), lang)", lambda x: F.transform(identify.pages_of(x), lambda p: F.sha2(p.cast("binary"), 256)), "list_transform(string_split(x, chr(12)), lambda p: sha256(p))")
 scalar("u_03_ordered_distinct", "part", "p_partkey", "concat('10.1000/bb', cast(p_partkey % 7 as varchar(20)), ' 10.1000/aa, 10.1000/BB', cast(p_partkey % 3 as varchar(20)), '.')", ids.find_dois, "CASE WHEN p_partkey % 7 = p_partkey % 3 THEN ['10.1000/bb' || p_partkey % 7, '10.1000/aa'] ELSE ['10.1000/bb' || p_partkey % 7, '10.1000/aa', '10.1000/bb' || p_partkey % 3] END")
 scalar("f_22_views", "part", "p_partkey", "concat('a–', p_name, '-\nb')", tx.views, "['a-' || p_name || '-\nb', 'a-' || p_name || 'b', 'a-' || replace(p_name, ' ', '') || '-b']")
 scalar("f_27_filename", "part", "p_partkey", "concat('10.100200300_p_', lpad(cast(p_partkey as varchar(20)), 9, '0'))", lambda x: ids.display(identify.from_filename(x)), "'doi:10.100200300/p_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')")
@@ -114,8 +113,7 @@ scalar("f_51_encode", "nation", "n_nationkey", "concat(n_name, ' é&*~+/')", rec
 scalar("f_57_host", "pages", "page_id", "url", rec.host_of, "regexp_extract(regexp_replace(url, '^https?://', ''), '^[^/?#]*')")
 scalar("f_56_pdf_form", "part", "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'https://arxiv.org/abs/2301.12345' WHEN 1 THEN concat('https://openreview.net/forum?id=A', cast(p_partkey as varchar(20))) WHEN 2 THEN concat('https://www.biorxiv.org/content/', cast(p_partkey as varchar(20)), '/') ELSE 'https://x.org/a' END", rec.pdf_form, "CASE p_partkey % 4 WHEN 0 THEN 'https://arxiv.org/pdf/2301.12345' WHEN 1 THEN 'https://openreview.net/pdf?id=A' || p_partkey WHEN 2 THEN 'https://www.biorxiv.org/content/' || p_partkey || '.full.pdf' END")
 scalar("f_55_pdf_sources", "part", "p_partkey", "concat('https://openreview.net/forum?id=', cast(p_partkey as varchar(20)))", lambda x: rec.pdf_sources(F.when(F.col("p_partkey") % 2 == 0, "2301.12345"), F.lit(" "), x), "CASE WHEN p_partkey % 2 = 0 THEN ['https://arxiv.org/pdf/2301.12345'] ELSE [] END || ['https://openreview.net/pdf?id=' || p_partkey, x]")
-scalar("f_47_plain_title", "documents", "doc_id", "substr(coalesce(text, ''), 1, 60)", rec.plain_title, r"trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))")
-scalar("f_47_plain_title_whole", "documents", "doc_id", "coalesce(text, '')", lambda x: F.sha2(rec.plain_title(x).cast("binary"), 256), r"sha256(trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')))")
+scalar("f_47_plain_title", "documents", "doc_id", "coalesce(text, '')", lambda x: F.sha2(rec.plain_title(x).cast("binary"), 256), r"sha256(trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')))")
 scalar("f_48_jaro_winkler", "part", "p_partkey", "concat(p_name, ' ', lower(p_brand))", lambda x: F.round(jaro_winkler(F.lit("small red ring brand"), x), 6), "round(jaro_winkler_similarity('small red ring brand', x), 6)")
 
 CANDIDATE_SQL = """cand AS (SELECT p_partkey, 's' || p_partkey % 5 AS source, CAST(p_partkey % 5 AS INT) AS provider_ord, p_partkey AS pos, CASE WHEN p_partkey % 13 <> 0 THEN 'doi:10.1000/r' || p_partkey % 1000 END AS id,
@@ -179,10 +177,10 @@ def selected(spark, sf):
     return ranking.select(ranking.interleave(ranking.scored(WANTED, candidates(spark, sf))), 7).select("p_partkey", "id")
 
 
-@query("u_01_union", f"WITH {CANDIDATE_SQL} SELECT p_partkey, source FROM cand WHERE provider_ord = 0 UNION ALL SELECT p_partkey, source FROM cand WHERE provider_ord IN (2, 3)")
+@query("u_01_union", f"WITH {CANDIDATE_SQL} SELECT p_partkey, source FROM cand UNION ALL SELECT p_partkey, 'again' FROM cand WHERE provider_ord = 4")
 def union(spark, sf):
     c = candidates(spark, sf)
-    return c.where("provider_ord = 0").unionByName(c.where("provider_ord IN (2, 3)")).select("p_partkey", "source")
+    return ranking.union([c, c.where("provider_ord = 4").withColumn("source", F.lit("again"))]).select("p_partkey", "source")
 
 
 @query("f_42_record_identifier", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'doi:10.1000/d' || p_partkey WHEN p_partkey % 3 = 1 THEN 'arxiv:2301.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') ELSE 'isbn:9780201896831' END AS id FROM part")

@@ -1,6 +1,6 @@
 """Answers of catalogues (JSON and Atom texts) as records of one type, and reference-manager files.
 
-A record: source, kind, title, container, authors (array of family, given, literal), issued, volume, issue, page,
+A record: source, kind, title, container, authors (array of family, given, literal, suffix, particle), issued, volume, issue, page,
 publisher, publisher_place, doi, isbn, issn, url, language, note, abstract, cited_by, oa_url.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import identifiers as ids
 from quillstack.functions import records as rec
 
-AUTHOR = "struct<family:string,given:string,literal:string>"
+AUTHOR = "struct<family:string,given:string,literal:string,suffix:string,particle:string>"
 RECORD = {
     "source": "string", "kind": "string", "title": "string", "container": "string", "authors": f"array<{AUTHOR}>", "issued": "string", "volume": "string", "issue": "string", "page": "string", "publisher": "string",
     "publisher_place": "string", "doi": "string", "isbn": "string", "issn": "string", "url": "string", "language": "string", "note": "string", "abstract": "string", "cited_by": "bigint", "oa_url": "string",
@@ -32,7 +32,8 @@ def person(c: Column, longest: int | None = None) -> Column:
     if longest:
         plain = F.size(F.split(given, " ")) <= longest
         family, given, literal = F.when(plain, family), F.when(plain, given), F.when(literal.isNotNull() | ~plain, ids.strip(c))
-    return F.struct(family.alias("family"), given.alias("given"), literal.alias("literal"))
+    none = F.lit(None).cast("string")
+    return F.struct(family.alias("family"), given.alias("given"), literal.alias("literal"), none.alias("suffix"), none.alias("particle"))
 
 
 def titled(title: Column, subtitle: Column) -> Column:
@@ -56,7 +57,7 @@ def _csl(df: DataFrame, item: Column, source: Column, fix_type: bool) -> DataFra
         number = c.try_cast("double")
         return F.when(c.startswith("["), first).when(number.isNotNull() & (number == F.floor(number)) & c.rlike(r"^-?[0-9]+\.0*$"), number.cast("bigint").cast("string")).otherwise(rec.collapse(c))
 
-    authors = F.transform(item["author"], lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given"), a["literal"].alias("literal")))
+    authors = F.transform(item["author"], lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given"), a["literal"].alias("literal"), a["suffix"].alias("suffix"), a["non-dropping-particle"].alias("particle")))
     return record(
         df, source=source, kind=rec.catalogue_type(item["type"]) if fix_type else item["type"], title=text("title"), container=text("container-title"), authors=authors,
         issued=rec.iso_date(F.get(item["issued"]["date-parts"], F.lit(0)), item["issued"]["literal"], item["issued"]["raw"]), volume=text("volume"), issue=text("issue"), page=text("page"), publisher=text("publisher"),
@@ -72,8 +73,9 @@ def csl_json(df: DataFrame, body: str = "body") -> DataFrame:
 
 def crossref(df: DataFrame, body: str = "body") -> DataFrame:
     """A work list (``message.items``) or a single work (``message``)."""
-    m = F.from_json(body, f"struct<message:struct<items:array<{CSL}>>>")["message"]["items"]
-    items = df.select(F.explode(m).alias("i"))
+    many = F.from_json(body, f"struct<message:struct<items:array<{CSL}>>>")["message"]["items"]
+    one = F.from_json(body, f"struct<message:{CSL}>")["message"]
+    items = df.select(F.explode(F.coalesce(many, F.when(one["title"].isNotNull() | one["DOI"].isNotNull(), F.array(one)))).alias("i"))
     return _csl(items, F.col("i"), F.lit("crossref"), True)
 
 
@@ -269,53 +271,89 @@ def bibtex_body(entry: dict) -> dict:
 
 #: The flat format's types.
 FLAT_TYPES = {"article": "article", "misc": "article", "book": "book", "inbook": "chapter", "incollection": "chapter", "inproceedings": "article", "conference": "article", "proceedings": "proceedings", "phdthesis": "thesis", "mastersthesis": "thesis", "thesis": "thesis", "techreport": "report", "report": "report", "unpublished": "manuscript", "online": "web", "electronic": "web", "www": "web", "patent": "patent"}
-#: The flat format's fields that have a place in an entry.
-FLAT_MAPPED = "type title abstract note url publisher address pages author author_list editor editor_list year month doi isbn issn journal booktitle volume number files tags notes ref school institution".split()
+#: Where the flat format's texts go in an entry; the first that is there fills a place.
+FLAT_PLACES = {
+    "title": "title", "abstract": "abstract", "note": "note", "url": "url", "publisher": "publisher", "address": "location", "pages": "page-range", "doi": "serial-number/doi", "isbn": "serial-number/isbn",
+    "issn": "serial-number/issn", "journal": "parent/title", "booktitle": "parent/title", "volume": "parent/volume", "number": "parent/issue",
+}
+#: The container type that each container title stands for; fields that are read in other ways; what is
+#: kept of the library's own data.
+FLAT_HOLDERS = {"journal": "periodical", "booktitle": "anthology"}
+FLAT_OTHERS = ("type", "author", "author_list", "editor", "editor_list", "year", "month", "ref", "school", "institution")
+FLAT_OWN = ("files", "tags", "notes")
+
+
+def flat_people(listed, text) -> list[str]:
+    """Names, family first: those of a list of people that have a family name, else those of a text with ``and``."""
+    people = [p for p in listed or [] if isinstance(p, dict) and isinstance(p.get("family"), str)]
+    if people:
+        return [", ".join(x for x in (p["family"], p.get("given")) if isinstance(x, str)) for p in people]
+    return [x.strip() for x in text.split(" and ")] if isinstance(text, str) else []
+
+
+def flat_date(year, month) -> str | None:
+    if isinstance(year, bool) or not isinstance(year, (int, str)):
+        return None
+    return f"{year}-{month:02}" if isinstance(month, int) and month in range(1, 13) else f"{year}"
 
 
 def flat_body(flat: dict, meta_key: str = "x-meta") -> dict:
     """An entry body of a flat (papis) file, with what has no place in it kept under the meta key. Values that aren't
-    texts are left out, but for the year and month."""
-    text = lambda k: flat[k] if isinstance(flat.get(k), str) else None
-    out: dict = {"type": FLAT_TYPES.get(text("type") or "article", "misc")}
-    out |= {b: text(a) for a, b in (("title", "title"), ("abstract", "abstract"), ("note", "note"), ("url", "url"), ("publisher", "publisher"), ("address", "location"), ("pages", "page-range")) if text(a) is not None}
-    for role in ("author", "editor"):
-        listed = [f"{p['family']}, {p['given']}" if isinstance(p.get("given"), str) else p["family"] for p in flat.get(f"{role}_list") or [] if isinstance(p, dict) and isinstance(p.get("family"), str)]
-        names = listed or ([n.strip() for n in text(role).split(" and ")] if text(role) is not None else [])
-        if names:
-            out[role] = names
-    year = flat.get("year")
-    if isinstance(year, (int, str)) and not isinstance(year, bool):
-        month = flat.get("month")
-        out["date"] = f"{year}-{month:02}" if isinstance(month, int) and 1 <= month <= 12 else str(year)
-    if serial := {k: text(k) for k in ("doi", "isbn", "issn") if text(k) is not None}:
-        out["serial-number"] = serial
-    if (title := text("journal") or text("booktitle")) is not None:
-        out["parent"] = {"type": "periodical" if text("journal") is not None else "anthology", "title": title} | {b: text(a) for a, b in (("volume", "volume"), ("number", "issue")) if text(a) is not None}
-    meta = {k: flat[k].split() if isinstance(flat[k], str) and k != "notes" else flat[k] for k in ("files", "tags", "notes") if k in flat}
-    if rest := {k: v for k, v in flat.items() if k not in FLAT_MAPPED}:
-        meta["papis"] = rest
-    return out | ({meta_key: meta} if meta else {})
+    texts are left out, but for the year and month; so are a container's numbers without its title."""
+    texts = {k: v for k, v in flat.items() if isinstance(v, str)}
+    nested: dict = {}
+    for field, place in FLAT_PLACES.items():
+        if field in texts:
+            holder, _, leaf = place.rpartition("/")
+            nested.setdefault(holder, {}).setdefault(leaf, texts[field])
+    out = {"type": FLAT_TYPES.get(texts.get("type") or "article", "misc")} | nested.pop("", {})
+    container = nested.pop("parent", {})
+    if "title" in container:
+        nested["parent"] = {"type": next(kind for field, kind in FLAT_HOLDERS.items() if field in texts)} | container
+    people = {role: flat_people(flat.get(f"{role}_list"), flat.get(role)) for role in ("author", "editor")}
+    other = {"date": flat_date(flat.get("year"), flat.get("month")), **people}
+    own = {k: texts[k].split() if k in texts and k != "notes" else flat[k] for k in FLAT_OWN if k in flat}
+    known = {*FLAT_PLACES, *FLAT_OTHERS, *FLAT_OWN}
+    if rest := {k: v for k, v in flat.items() if k not in known}:
+        own["papis"] = rest
+    return out | {k: v for k, v in other.items() if v} | nested | ({meta_key: own} if own else {})
+
+
+#: Errors of one text that are told one by one.
+TOLD = 5
 
 
 def from_texts(df: DataFrame, form: str, body: str = "body") -> DataFrame:
-    """(key, body): entries of BibTeX or YAML library texts, one text a row; bodies as JSON."""
+    """(key, body, error): entries of BibTeX or YAML library texts, one text a row, in their order, repeated keys
+    included; bodies as JSON. What can't be read is a row with an error alone: the first ``TOLD`` of a text one by one,
+    the others as their number."""
     import json
 
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+    @F.pandas_udf("array<struct<key:string,body:string,error:string>>")
     def parse(texts: pd.Series) -> pd.Series:
+        import yaml
+
         from quillstack.sources.library import load_yaml
 
         out = []
         for t in texts:
+            found, errors = [], []
             if form == "bibtex":
-                found = {e["key"]: bibtex_body(e) for e in parse_bibtex(t or "")[0]}
+                entries, errors = parse_bibtex(t or "")
+                found = [(e["key"], bibtex_body(e)) for e in entries]
             else:
-                loaded = load_yaml(t or "")
-                found = {str(k): v for k, v in loaded.items() if isinstance(v, dict)} if isinstance(loaded, dict) else {}
-            out.append({k: json.dumps(v, ensure_ascii=False) for k, v in found.items()})
+                try:
+                    loaded = load_yaml(t or "")
+                    loaded = {} if loaded is None else loaded
+                    if isinstance(loaded, dict):
+                        found = [(str(k), v) for k, v in loaded.items() if isinstance(v, dict)]
+                        errors = [f"{k}: not an entry" for k, v in loaded.items() if not isinstance(v, dict)]
+                    else:
+                        errors = ["not a map of entries"]
+                except yaml.YAMLError as e:
+                    errors = [str(e)]
+            told = errors[:TOLD] + ([f"and {len(errors) - TOLD} more"] if len(errors) > TOLD else [])
+            out.append([{"key": k, "body": json.dumps(v, ensure_ascii=False, default=str), "error": None} for k, v in found] + [{"key": None, "body": None, "error": e} for e in told])
         return pd.Series(out)
 
-    return df.select(F.explode(parse(body)).alias("key", "body"))
+    return df.select(F.explode(parse(body)).alias("e")).select("e.*")

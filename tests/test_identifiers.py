@@ -64,7 +64,7 @@ def test_keys(spark):
     check(spark, lambda c: k.slug(k.nostop(c)), {"The Art of Computer Programming": "art-of-computer-programming", "Ægir & Bjørnson": "aegir-bjornson", "On the": "on-the"})
     check(spark, k.titlecase, {"hello wORLD": "Hello World"})
     check(spark, lambda c: k.sanitize(c, 12), {"einstein1905:.": "einstein1905", "a b/c!": "abc", "...": "", "müller2020": "müller2020"})
-    check(spark, lambda c: k.alpha_suffix(c.cast("long")), {"0": "a", "25": "z", "26": "aa", "27": "ab", "701": "zz", "702": "aaa"})
+    check(spark, lambda c: k.alpha_suffix(c.cast("long")), {"0": "a", "25": "z", "26": "aa", "27": "ab", "701": "zz", "702": "aaa", "18278": "aaaa", "475254": "aaaaa", "12356630": "aaaaaa"})
     check(spark, lambda c: k.normalize(c, "nfkd"), {"ﬁ": "fi"})
 
 

@@ -87,6 +87,9 @@ def test_catalogues(spark):
     csl = {"type": "journal-article", "title": ["On  X"], "volume": 322, "page": "1–2", "DOI": "10.1/X", "issued": {"date-parts": [[1905, 6]]}, "author": [{"family": "Einstein", "given": "A."}], "is-referenced-by-count": 7}
     r = catalogues.crossref(one(spark, {"message": {"items": [csl]}})).first()
     assert (r.source, r.kind, r.title, r.volume, r.issued, r.authors[0].family, r.cited_by) == ("crossref", "article-journal", "On X", "322", "1905-06", "Einstein", 7)
+    r = catalogues.crossref(one(spark, {"status": "ok", "message": csl | {"author": [{"family": "Beethoven", "given": "L.", "suffix": "Jr.", "non-dropping-particle": "van"}]}})).first()
+    assert (r.title, r.authors[0].family, r.authors[0].suffix, r.authors[0].particle) == ("On X", "Beethoven", "Jr.", "van")
+    assert catalogues.crossref(one(spark, {"status": "failed", "message": {}})).count() == 0
     assert catalogues.csl_json(one(spark, [csl])).first().kind == "journal-article"
     work = {"type": "book-chapter", "title": "T", "doi": "https://doi.org/10.1/AB", "publication_year": 2001, "authorships": [{"author": {"display_name": "Ada M. Lovelace"}}, {"author": {"display_name": "A b c d e"}}], "biblio": {"first_page": "1", "last_page": "9"}, "primary_location": {"source": {"display_name": "J"}}}
     r = catalogues.openalex(one(spark, {"results": [work]})).first()
@@ -103,7 +106,11 @@ def test_catalogues(spark):
 
 def test_bibtex_and_flat(spark):
     text = '@string{pub = "Addison" # " Wesley"}\n@book{k1, author = {Knuth, Donald E. and Leslie Lamport}, title = {The {TeX}book \\& M{\\"u}ller}, year = 1984, month = jan, publisher = pub, isbn = "0-201"}\n@article{a, title={T}, journal={J}, pages={1--2}, number={3}}\n@misc{broken, title = {x'
-    rows = {r.key: json.loads(r.body) for r in catalogues.from_texts(one(spark, text), "bibtex").collect()}
+    found = catalogues.from_texts(one(spark, text), "bibtex").collect()
+    rows = {r.key: json.loads(r.body) for r in found if r.key}
+    assert [r.error is None for r in found] == [True, True, False]
+    twice = catalogues.from_texts(one(spark, "@misc{a, title={x}}\n@misc{a, title={y}}" + "@misc{b, title={" * 7), "bibtex").collect()
+    assert [r.key for r in twice if r.key] == ["a", "a"] and [r.error for r in twice][-1] == "and 2 more"
     assert rows["k1"] == {"type": "book", "title": "The TeXbook & Müller", "author": ["Knuth, Donald E.", "Lamport, Leslie"], "date": "1984-01", "serial-number": {"isbn": "0-201"}, "publisher": "Addison Wesley"}
     assert rows["a"]["parent"] == {"type": "periodical", "title": "J", "issue": "3"} and rows["a"]["page-range"] == "1-2"
     assert len(catalogues.parse_bibtex(text)[1]) == 1
@@ -119,7 +126,12 @@ def test_pdf_texts(spark):
     packet = '<x:xmpmeta><rdf:Description prism:doi="10.1/a"><dc:title><rdf:Alt><rdf:li>T &amp; U</rdf:li></rdf:Alt></dc:title><pdfx:isbn>123</pdfx:isbn><cut'
     assert pdftext.parse_xmp(packet) == {"doi": "10.1/a", "title": "T & U", "isbn": "123"}
     page = '<page width="1" height="800"><line yMin="10" yMax="30"><word>Big</word><word>Title</word></line><line yMin="32" yMax="52"><word>goes on</word></line><line yMin="60" yMax="70"><word>small</word></line></page>'
-    assert pdftext.title_of(*pdftext.parse_bbox(page)) == "Big Title goes on"
+    gap = page.replace('yMin="32" yMax="52"', 'yMin="92" yMax="112"').replace("small", "tiny")
+    short = '<page height="800"><line yMin="10" yMax="30"><word>Big</word></line><line yMin="700" yMax="790"><word>Low and very large</word></line></page>'
+    mixed = '<page height="800"><line yMin="1" yMax="9"><word>Journal name</word></line><line yMin="10" yMax="30"><word>A long title</word></line><line yMin="31" yMax="39"><word>by</word></line><line yMin="40" yMax="60"><word>not this</word></line></page>'
+    pages = spark.createDataFrame(list(enumerate([page, gap, short, mixed, "", None])), "i int, x string")
+    got = {r.i: r.t for r in pages.select("i", pdftext.layout("x").alias("page")).select("i", pdftext.geometry_title(F.col("page")).alias("t")).collect()}
+    assert got == {0: "Big Title goes on", 1: "Big Title", 2: None, 3: "A long title", 4: None, 5: None}
     assert spark.createDataFrame([(bytearray(b"xx%PDF-1.4"),), (bytearray(b"no"),)], "c binary").select(export.is_pdf(F.col("c"))).collect()[0][0] is True
 
 
