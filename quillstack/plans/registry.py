@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["q_search", "q_records"]
+MODULES = ["q_search", "q_records", "q_formats"]
 
 
 def _all(name: str) -> dict:
