@@ -18,8 +18,8 @@ def title(t):
 
 
 @pytest.mark.parametrize("name, want", [
-    ("f_47_plain_title_whole", lambda d: sha(title(d.text or ""))),
-    ("s_22_pages_whole", lambda d: [sha(p) for p in f"{d.text or ''}\f{d.source}\f{d.lang}".split("\f")]),
+    ("f_47_plain_title", lambda d: sha(title(d.text or ""))),
+    ("s_22_pages", lambda d: [sha(p) for p in f"{d.text or ''}\f{d.source}\f{d.lang}".split("\f")]),
 ])
 def test_whole_texts(spark, name, want):
     docs = {d.doc_id: want(d) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
