@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import decontaminate, languagemodel, nearest, pieces, quality, sharding, simhash, tokencount, toxicity, urlfilter
+from quillstack.llm import conversations, decontaminate, languagemodel, manifest, nearest, pieces, quality, secrets, sharding, simhash, tokencount, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, quality.fit(docs, labels), ["doc_id"])
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(damaged, lost=F.col("lost"))).withColumnRenamed("conv", "conv_id")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(secrets.samples(docs)))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    counts = [F.size(F.filter("spans", lambda s, rank=rank: s["rank"] == rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.digest(manifest.encoded(*fields, text=lowered)))
+    built = manifest.build(docs, "source", "doc_id", manifest.digest(manifest.encoded(*fields)), tampered.alias("tampered"))
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("way"))
+    return built.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("way")), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_sharding": op2_sharding,
@@ -94,6 +117,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
+    "op12_secrets": op12_secrets,
+    "op13_manifest": op13_manifest,
 }
 
 _SHARD_ROWS = ", ".join(f"({i}, '{s}', {sharding.preferences(s, sharding.SIZE)[0]}, {sharding.preferences(s, sharding.SIZE)[1]})" for i, s in enumerate(sharding.SHARDS))
@@ -177,4 +203,107 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN g.template IS NULL T
 FROM r JOIN paths USING (host, path) JOIN placed USING (host, segments) LEFT JOIN gone g USING (host, template)
 """
 
-ORACLE_SQL = {"op2_sharding": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
+#: crc32 of an ASCII text, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda crc, c: list_reduce(list_transform(range(9), lambda i: xor(crc, c)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"
+
+_WHITE = r"\x20\x09-\x0D"
+
+
+def _cheapest(*options: str) -> str:
+    """Least of texts that are a cost of ten digits and an audit; nulls don't count."""
+    return f"least({', '.join(options)})"
+
+
+def _more(cost: int, letter: str, then: str) -> str:
+    return f"(lpad(CAST(CAST(substr({then}, 1, 10) AS INT) + {cost} AS VARCHAR), 10, '0') || '{letter}' || substr({then}, 11))"
+
+
+def _edit_sql(state: str) -> str:
+    """The cheapest of delete, keep and rerole at a turn from a state, by what is cheapest after it (e, s, u, a)."""
+    to = "ua" if state in "esa" else "a"
+    options = [_more(2, "D", f"p.{state}")]
+    for role in ("su" if state == "e" else "u" if state in "sa" else "a"):
+        options.append(f"CASE WHEN must OR initial <> '{role}' THEN NULL WHEN cut THEN {_more(5, 'K', 'p.' + role)} ELSE {_more(0, 'K', 'p.' + role)} END")
+    options.append(f"CASE WHEN must OR initial = '{to[0]}' THEN NULL WHEN cut THEN {_more(6, 'R', 'p.' + to[0])} ELSE {_more(1, 'R', 'p.' + to[0])} END")
+    return _cheapest(*options)
+
+
+#: Two rounds of insertions: from start, system and assistant to user, from user to assistant.
+_INSERTED = ", ".join(f"{_cheapest(s, _more(5, 'I', 'a' if s == 'u' else 'u'))} AS {s}" for s in "esua")
+
+OP11_SQL = f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+faulty AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, f
+  FROM (SELECT *, {_CRC} % 20 AS f FROM named)),
+present AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+  FROM (SELECT *, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM faulty WHERE f <> 0)),
+judged AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^{_WHITE}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][{_WHITE}]*\\z') THEN 'truncated' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM present),
+t AS (SELECT conv_id, i, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS must, coalesce(fault = 'truncated', false) AS cut FROM judged),
+counts AS (SELECT conv_id, count(*) AS rows_left, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+best(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, rows_left + 1, '0000000000', '0000000010II', '0000000005I', '0000000000' FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_INSERTED} FROM (SELECT conv_id, i, {_INSERTED} FROM (
+    SELECT t.conv_id, t.i, {", ".join(f"{_edit_sql(s)} AS {s}" for s in "esua")} FROM best p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i - 1))),
+won AS (SELECT conv_id, CAST(substr(e, 1, 10) AS BIGINT) AS cost, substr(e, 11) AS audit FROM best WHERE i = 1),
+letters AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS place FROM won WHERE audit <> ''),
+placed AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS out FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+lines AS (SELECT l.conv_id, l.place, l.edit, l.out, CASE WHEN l.edit = 'I' THEN '' ELSE j.text END AS text, j.role AS role, max(CASE WHEN l.edit = 'K' AND l.out = 1 AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS lead
+  FROM placed l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i),
+repaired AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (out - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS s FROM lines WHERE edit <> 'D' GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _field(name: str, text: str | None = None) -> str:
+    value = f"CAST({text or name} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({value})) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _tree(name: str, leaves: str, depth: int) -> str:
+    """Common table expressions of the trees over ``leaves`` (g, i, h): levels, and each leaf's siblings by level."""
+    ctes = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for d in range(1, depth + 1):
+        ctes.append(f"{name}{d} AS (SELECT g, i // 16 AS i, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CAST(ceil(max(n) / 16.0) AS BIGINT) AS n, list(h ORDER BY i) AS c, max(n) = 1 AS over FROM {name}{d - 1} GROUP BY g, i // 16)")
+    return ", ".join(ctes)
+
+
+_SOURCES, _CROWN = 5, 3
+
+
+def _ways(name: str, depth: int, prefix: str) -> str:
+    """Columns: the siblings on the left and the right on each level; empty above the top."""
+    return ", ".join(f"CASE WHEN {name}{d}.over THEN '' ELSE array_to_string({name}{d}.c[1:(i{prefix} // {16 ** (d - 1)}) % 16], '') END AS {prefix}l{d}, CASE WHEN {name}{d}.over THEN '' ELSE array_to_string({name}{d}.c[(i{prefix} // {16 ** (d - 1)}) % 16 + 2:], '') END AS {prefix}r{d}, {name}{d}.over AS {prefix}o{d}" for d in range(1, depth + 1))
+
+
+def _joins(name: str, depth: int, key: str, i: str) -> str:
+    return " ".join(f"JOIN {name}{d} ON {name}{d}.g = {key} AND {name}{d}.i = {i} // {16 ** d}" for d in range(1, depth + 1))
+
+
+def _fold(start: str) -> str:
+    for p, depth in (("s", _SOURCES), ("c", _CROWN)):
+        for d in range(1, depth + 1):
+            start = f"list_transform([{start}], lambda x: CASE WHEN {p}o{d} THEN x ELSE sha256({p}l{d} || x || {p}r{d}) END)[1]"
+    return start
+
+
+OP13_SQL = f"""
+WITH rows0 AS (SELECT doc_id, coalesce('+' || source, '') AS g, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS h,
+  sha256({" || ".join(_field(c, "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else None) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS low, CAST(doc_id AS VARCHAR) AS k FROM documents),
+leaves AS (SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN low ELSE h END AS used, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM rows0),
+{_tree("t", "leaves", _SOURCES)},
+subroots AS (SELECT '' AS g, g AS grp, h, row_number() OVER (ORDER BY g) - 1 AS i FROM t{_SOURCES}),
+{_tree("u", "subroots", _CROWN)},
+crowned AS (SELECT i AS ic, grp, h AS subroot FROM subroots),
+crown AS (SELECT grp, subroot, {_ways("u", _CROWN, "c")} FROM crowned {_joins("u", _CROWN, "''", "ic")}),
+own AS (SELECT doc_id, g AS sg, h AS leaf, used, i AS "is" FROM leaves),
+ways AS (SELECT doc_id, sg, leaf, used, {_ways("t", _SOURCES, "s").replace("(is //", '("is" //')} FROM own {_joins("t", _SOURCES, "sg", '"is"')}),
+folded AS (SELECT doc_id, leaf, subroot, (SELECT h FROM u{_CROWN}) AS root, sha256({" || ".join(f"{p}l{d} || {p}r{d}" for p, n in (("s", _SOURCES), ("c", _CROWN)) for d in range(1, n + 1))}) AS proof_sha256, {_fold("used")} AS folded_root FROM ways JOIN crown ON grp = sg)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL, "op11_conversations": OP11_SQL, "op13_manifest": OP13_SQL}
