@@ -32,7 +32,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 LEAST, SAMPLED_LEAST = 16, 6
 #: Documents that the models learn from, in the mean, and the weight of an unseen pair of characters.
-SAMPLE, SMOOTHING = 4096, 0.5
+SAMPLE, SMOOTHING = 2048, 0.5
 #: Log-likelihood ratio (natural) from which a run is a secret: one run in a million is taken to be one.
 THRESHOLD = math.log(1e6)
 #: Characters of a run that are looked at together, which bounds the arrays of very long runs.
