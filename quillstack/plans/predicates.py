@@ -44,16 +44,19 @@ def of_field(name: str, value) -> Column:
     return F.exists("serials", lambda s: s["kind"].isin(*SERIALS[name]) & matches(s["value"], value))
 
 
-def column(tree) -> Column:
+def column(tree, known: dict | None = None) -> Column:
+    """The tree as a Column; terms that are ``known`` are the Columns given for them."""
     match tree:
         case q.All():
             return F.lit(True)
         case q.And(a, b):
-            return column(a) & column(b)
+            return column(a, known) & column(b, known)
         case q.Or(a, b):
-            return column(a) | column(b)
+            return column(a, known) | column(b, known)
         case q.Not(a):
-            return ~column(a)
+            return ~column(a, known)
+        case q.Prefix() | q.Phrase() if known and tree in known:
+            return known[tree]
         case q.Prefix(t):
             return tx.full_text_match(F.col("fts_norm"), t, True)
         case q.Phrase(t):
