@@ -71,28 +71,29 @@ def text_evidence(texts: DataFrame, tier: int, page_count: Column) -> DataFrame:
     return again.unionByName(found)
 
 
-def metadata(pdfs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``pages`` and ``title``, evidence of the file name, links, dictionary and packet) of (doc, pdf) and
-    runs (pdf, op_key, text). The custom dictionary's entries come over the plain one's; a document without a page count
-    has one page."""
+def described(pdfs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, pdf, pages, title, info, xmp) of (doc, pdf) and runs (pdf, op_key, text): what dictionaries and packets say.
+    The custom dictionary's entries come over the plain one's; a document without a page count has one page."""
     one = lambda key: F.max(F.when(F.col("op_key") == key, F.col("text")))
     keys = ("info", "info-custom", "xmp")
-    said = runs.where(F.col("op_key").isin(*keys)).groupBy("pdf").agg(*(one(k).alias(k.replace("-", "_")) for k in keys))
-    d = pdfs.join(said, "pdf", "left")
+    said = runs.where(F.col("op_key").isin(*keys)).groupBy("pdf").agg(*(one(k).alias("_" + k) for k in keys))
     empty = F.create_map().cast("map<string,string>")
     info = lambda c: F.coalesce(pdftext.info(F.col(c)), empty)
-    d = d.withColumns({"_plain": info("info"), "_custom": info("info_custom"), "_xmp": F.when(F.col("xmp").isNull(), empty).otherwise(pdftext.xmp(F.col("xmp")))})
-    d = d.withColumns({"pages": F.coalesce(pdftext.page_count(F.col("_plain")), F.lit(1)), "_info": documents.overlay_maps(F.col("_plain"), F.col("_custom"))})
-    title = F.coalesce(F.nullif(F.col("_info")["Title"], F.lit("")), F.col("_xmp")["title"])
-    d = d.select("doc", "pdf", "pages", title.alias("title"), "_info", "_xmp")
+    d = pdfs.join(said, "pdf", "left").select("doc", "pdf", info("_info").alias("plain"), info("_info-custom").alias("custom"), pdftext.xmp(F.col("_xmp")).alias("xmp"))
+    pages = F.coalesce(pdftext.page_count(F.col("plain")), F.lit(1))
+    d = d.select("doc", "pdf", pages.alias("pages"), documents.overlay_maps(F.col("plain"), F.col("custom")).alias("info"), "xmp")
+    return d.withColumn("title", F.coalesce(F.nullif(F.col("info")["Title"], F.lit("")), F.col("xmp")["title"]))
+
+
+def metadata_evidence(described: DataFrame, runs: DataFrame) -> DataFrame:
+    """Evidence (``COLUMNS``) of the file names, links, dictionaries and packets of ``described``."""
     stem = F.regexp_replace(F.regexp_extract("pdf", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
-    named = d.select("doc", identify.from_filename(stem).alias("id"), F.lit(0).alias("tier"), F.lit(identify.HIGH).alias("confidence"), stem.alias("context")).where("id IS NOT NULL")
-    pairs = lambda c: d.select("doc", F.explode(c).alias("key", "value"))
-    asked = d.select("doc", "pdf", F.concat(F.lit("urls-"), F.col("pages").cast("string")).alias("op_key"))
+    named = described.select("doc", identify.from_filename(stem).alias("id"), F.lit(0).alias("tier"), F.lit(identify.HIGH).alias("confidence"), stem.alias("context")).where("id IS NOT NULL")
+    pairs = lambda c: described.select("doc", F.explode(c).alias("key", "value"))
+    asked = described.select("doc", "pdf", F.concat(F.lit("urls-"), F.col("pages").cast("string")).alias("op_key"))
     links = asked.join(runs.where(F.col("op_key").startswith("urls-")), ["pdf", "op_key"]).select("doc", F.explode(pdftext.urls(F.col("text"))).alias("u")).select("doc", "u.page", "u.uri")
-    found = [named, documents.from_annotations(links), documents.from_info(pairs("_info")), documents.from_xmp(pairs("_xmp"))]
-    evidence = reduce(DataFrame.unionByName, found).withColumn("seq", F.lit(0))
-    return d.drop("_info", "_xmp"), evidence.select(*COLUMNS)
+    found = [named, documents.from_annotations(links), documents.from_info(pairs("info")), documents.from_xmp(pairs("xmp"))]
+    return reduce(DataFrame.unionByName, found).withColumn("seq", F.lit(0)).select(*COLUMNS)
 
 
 def settled(evidence: DataFrame) -> DataFrame:
@@ -124,9 +125,8 @@ def identify_documents(pdfs: DataFrame, recorded: DataFrame) -> Identification:
         return spark.read.schema(df.schema).parquet(path)
 
     runs = recorded.where("error IS NULL AND text IS NOT NULL").select("pdf", "op_key", "text")
-    docs, first = metadata(pdfs.select("doc", "pdf"), runs)
-    docs, evidence = table(docs), [table(first)]
-    asked = None
+    docs = table(described(pdfs.select("doc", "pdf"), runs))
+    evidence, asked = [table(metadata_evidence(docs, runs))], None
     for stage in TEXT_STAGES:
         n = F.col("pages")
         left = docs.join(settled(reduce(DataFrame.unionByName, evidence)), "doc", "left_anti")
