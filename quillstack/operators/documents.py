@@ -44,7 +44,7 @@ def _evidence(df: DataFrame, found: Column, tier: int, context: Column) -> DataF
 def from_annotations(links: DataFrame) -> DataFrame:
     """Evidence of (doc, page, uri): resolver links, certain on the first page, low beyond it."""
     uri = ascii_lower(F.col("uri"))
-    rows = links.where(F.contains(uri, F.lit("doi.org/")) | F.contains(uri, F.lit("arxiv.org/"))).withColumn("id", ids.parse_identifier(F.col("uri"))).where("id IS NOT NULL")
+    rows = links.where(F.contains(uri, F.lit("doi.org/")) | F.contains(uri, F.lit("arxiv.org/"))).select("doc", "page", "uri", F.explode(F.array_compact(F.transform(F.array("uri"), ids.parse_identifier))).alias("id"))
     return rows.select("doc", "id", F.lit(1).alias("tier"), F.when(F.col("page") == 1, CERTAIN).otherwise(0).alias("confidence"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), "uri").alias("context"))
 
 

@@ -88,7 +88,8 @@ def described(pdfs: DataFrame, runs: DataFrame) -> DataFrame:
 def metadata_evidence(described: DataFrame, runs: DataFrame) -> DataFrame:
     """Evidence (``COLUMNS``) of the file names, links, dictionaries and packets of ``described``."""
     stem = F.regexp_replace(F.regexp_extract("pdf", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
-    named = described.select("doc", identify.from_filename(stem).alias("id"), F.lit(0).alias("tier"), F.lit(identify.HIGH).alias("confidence"), stem.alias("context")).where("id IS NOT NULL")
+    # Exploded, not filtered: a filter on the identifier would state its long expression twice.
+    named = described.select("doc", F.explode(F.array_compact(F.array(identify.from_filename(stem)))).alias("id"), F.lit(0).alias("tier"), F.lit(identify.HIGH).alias("confidence"), stem.alias("context"))
     pairs = lambda c: described.select("doc", F.explode(c).alias("key", "value"))
     asked = described.select("doc", "pdf", F.concat(F.lit("urls-"), F.col("pages").cast("string")).alias("op_key"))
     links = asked.join(runs.where(F.col("op_key").startswith("urls-")), ["pdf", "op_key"]).select("doc", F.explode(pdftext.urls(F.col("text"))).alias("u")).select("doc", "u.page", "u.uri")

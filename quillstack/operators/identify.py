@@ -29,7 +29,8 @@ def from_filename(stem: Column) -> Column:
     """The identifier that a file's name is, or is with its first ``_`` read as ``/``. Names without what every
     identifier has (a DOI's start, the digits of an arXiv id or of an ISBN, a mark) aren't parsed."""
     likely = stem.rlike(r"(?i)10\.[0-9]{4}|[0-9]{4}\.[0-9]{4}|[/_][0-9]{7}|pmid:|[0-9X](?:[^0-9X]*[0-9X]){9}")
-    return F.when(likely, F.coalesce(ids.parse_identifier(stem), ids.parse_identifier(F.regexp_replace(stem, "^([^_]*)_", "$1/"))))
+    read = F.transform(F.array(stem, F.regexp_replace(stem, "^([^_]*)_", "$1/")), ids.parse_identifier)
+    return F.when(likely, F.get(F.array_compact(read), F.lit(0)))
 
 
 def repeated_dois(pages: DataFrame, threshold: int = 3) -> DataFrame:
