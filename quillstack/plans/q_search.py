@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstack.operators import fulltext, sync
+from quillstack.operators import fulltext, sync, versions
 from quillstack.plans import predicates, querylang
 from quillstack.plans.fixtures import CORPUS_SQL, LIBRARY_SQL, corpus, library
 from quillstack.sources.tables import shared_path
@@ -112,9 +112,9 @@ def count(spark, sf):
     return library(spark, sf).agg(F.count("*").alias("n"))
 
 
-@query("k_11_keys", "SELECT citekey FROM lib WHERE parent_title = 'FRANCE' ORDER BY citekey")
+@query("k_11_keys", "SELECT citekey FROM lib WHERE parent_title = 'NATION_3' ORDER BY citekey")
 def keys(spark, sf):
-    return predicates.search(library(spark, sf), 'parent:"FRANCE"', ("citekey",))
+    return predicates.search(library(spark, sf), 'parent:"NATION_3"', ("citekey",))
 
 
 @query("k_12_table", "SELECT citekey || repeat(' ', greatest(0, 28 - length(citekey))) || '  ' || coalesce(CAST(year AS VARCHAR), '----') || '  ' || coalesce(title, '—') AS line FROM lib")
@@ -195,3 +195,38 @@ def stale(spark, sf):
 @query("u_06_idempotent", "SELECT DISTINCT citekey, kind, value FROM serials")
 def idempotent(spark, sf):
     return sync.serial_rows(library(spark, sf)).distinct()
+
+
+_ORDERS = "SELECT o_orderkey, 'o' || o_orderkey AS citekey, o_orderstatus AS type, o_custkey AS holder FROM orders"
+
+
+def _records(spark, sf, holder=F.col("o_custkey")):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("citekey"), F.col("o_orderstatus").alias("type"), holder.alias("holder"))
+
+
+def _filled(spark, sf):
+    """An index of all orders but each 13th, then a batch that changes each fifth, adds each 13th and takes each 17th away."""
+    index, docs = shared_path(spark, "versions"), _records(spark, sf)
+    n = F.col("o_orderkey")
+    versions.commit(index, docs.where(n % 13 != 0).drop("o_orderkey"), source="orders", batch=0)
+    changed = _records(spark, sf, F.col("o_custkey") + 1).where(((n % 5 == 0) | (n % 13 == 0)) & (n % 17 != 0))
+    for _ in range(2):  # the second time it is known, and nothing is written
+        versions.commit(index, changed.drop("o_orderkey"), docs.where(n % 17 == 0), "orders", 1)
+    return index
+
+
+_MERGED = f"SELECT citekey, type, holder + CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS holder FROM ({_ORDERS}) WHERE o_orderkey % 17 <> 0"
+
+
+@query("k_01_merge_on_read", _MERGED)
+def merge_on_read(spark, sf):
+    return versions.current(spark, _filled(spark, sf)).drop("_bucket")
+
+
+@query("k_03_reset", f"SELECT citekey, type, holder FROM ({_ORDERS}) WHERE o_orderkey % 3 = 0")
+def reset(spark, sf):
+    index = _filled(spark, sf)
+    versions.reset(spark, index)
+    versions.commit(index, _records(spark, sf).where(F.col("o_orderkey") % 3 == 0).drop("o_orderkey"), source="orders", batch=0)
+    return versions.current(spark, index).drop("_bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import sync
+from quillstack.operators import versions
 from quillstack.sources import library
 
 
@@ -18,30 +18,23 @@ def changed_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def follow(spark: SparkSession, root: str, index: str, checkpoint: str):
-    """Upsert into the index table in turns of its two folders, then stop: everything new since the last call is taken.
+    """Commit everything new since the last call to the versioned index, then stop. A batch writes its own documents and
+    tombstones of those that no longer parse; one that Spark runs again is known by the stream's own id and number.
 
     A file stream never reports deletions; ``remove_missing`` compares the index with a full listing."""
 
     def step(batch: DataFrame, number: int) -> None:
         fresh = library.parsed(library.preferred(batch))
-        good, bad = fresh.where("error IS NULL").drop("error"), fresh.where("error IS NOT NULL")
-        old = current(batch.sparkSession, index)
-        out = good if old is None else sync.upsert(old, good, bad)
-        out.write.mode("overwrite").parquet(f"{index}/v{number % 2}")
-        batch.sparkSession.createDataFrame([(number % 2,)], "v int").coalesce(1).write.mode("overwrite").json(f"{index}/now")
+        stream = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
+        versions.commit(index, fresh.where("error IS NULL").drop("error"), fresh.where("error IS NOT NULL"), stream, number)
 
     return changed_files(spark, root).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, index: str) -> DataFrame | None:
     """The index as the last step left it; None before the first."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        v = spark.read.schema("v int").json(f"{index}/now").first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{index}/v{v.v}") if v else None
+    now = versions.current(spark, index)
+    return None if now is None else now.drop("_bucket")
 
 
 def remove_missing(index: DataFrame, listing: DataFrame) -> DataFrame:
