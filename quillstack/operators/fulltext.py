@@ -1,8 +1,8 @@
 """A full-text index: positional postings in order of their terms, and a sorted dictionary.
 
-``postings`` has a row for each term of each document: (term, citekey, positions as gaps). A task makes the rows of its
-own documents from whole Arrow batches, so words are never shuffled one by one; then the rows are range-partitioned and
-sorted by (term, citekey). A term so lies in few files, whose row groups say which terms they hold, and a frequent term
+``postings`` has rows (term, citekeys, gaps): some documents that hold the term, and for each the term's positions as gaps.
+A task makes the rows of its own documents, one a term for some megabytes of text, so neither words nor single postings
+are shuffled; then the rows are range-partitioned and sorted by (term, first key). A term so lies in few files, whose row groups say which terms they hold, and a frequent term
 is spread over as many files as it needs. ``terms`` is the dictionary: (term, documents, occurrences), sorted too.
 ``documents`` holds the other columns, without texts.
 
@@ -46,7 +46,7 @@ class Index:
 
 
 def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Postings of (citekey, fts_norm), sorted by term within each document."""
+    """Postings of (citekey, fts_norm), sorted by term."""
     words = pc.split_pattern(pc.utf8_trim(pc.fill_null(batch.column(1), ""), " "), " ")
     offsets = words.offsets.to_numpy().astype(np.int64)
     flat = words.flatten()
@@ -56,15 +56,20 @@ def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
     at = np.arange(len(code)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
     full = code != (coded.dictionary.index("").as_py() if len(coded.dictionary) else -1)
     code, doc, at = code[full], doc[full], at[full]
-    key = doc * (len(coded.dictionary) + 1) + code
+    # Sorted by term, document and position: rows begin where the term changes, lists where the document does.
+    key = code * (len(words) + 1) + doc
     order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order].astype(np.int32)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    key, code, at = key[order], code[order], at[order].astype(np.int32)
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
     gaps = np.diff(at, prepend=np.int32(0))
     gaps[first] = at[first]
-    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(gaps.astype(np.int32)))
-    rows = order[first]
-    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[rows])).cast(pa.string()), batch.column(0).take(pa.array(doc[rows])), positions], ["term", "citekey", "gaps"])
+    row = np.flatnonzero(np.r_[True, code[first][1:] != code[first][:-1]]) if len(first) else np.zeros(0, np.int64)
+    outer = pa.array(np.r_[row, len(first)].astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(gaps.astype(np.int32)))
+    keys = batch.column(0).take(pa.array(doc[order][first]))
+    terms = coded.dictionary.take(pa.array(code[first][row])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(outer, keys), pa.ListArray.from_arrays(outer, lists)], ["term", "citekeys", "gaps"])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +90,12 @@ def build(documents: DataFrame, path: str, parts: int | None = None) -> Index:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents.drop("fts_norm").write.parquet(f"{path}/documents")
     # Range partitioning looks at its input twice, so the postings are made once and kept until they are sorted.
-    documents.where("citekey IS NOT NULL").select("citekey", "fts_norm").mapInArrow(_sliced, "term string, citekey string, gaps array<int>").write.parquet(f"{path}/unsorted")
+    documents.where("citekey IS NOT NULL").select("citekey", "fts_norm").mapInArrow(_sliced, "term string, citekeys array<string>, gaps array<array<int>>").write.option("compression", "zstd").parquet(f"{path}/unsorted")
     loose = spark.read.parquet(f"{path}/unsorted")
-    loose.repartitionByRange(parts, "term", "citekey").sortWithinPartitions("term", "citekey").write.parquet(f"{path}/postings")
-    counted = loose.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("gaps")).alias("occurrences"))
+    order = ["term", F.get("citekeys", F.lit(0))]
+    loose.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{path}/postings")
+    held = F.aggregate("gaps", F.lit(0), lambda n, g: n + F.size(g))
+    counted = loose.groupBy("term").agg(F.sum(F.size("citekeys")).alias("documents"), F.sum(held).alias("occurrences"))
     counted.sort("term").write.parquet(f"{path}/terms")
     delete(spark, f"{path}/unsorted")
     return load(spark, path)
@@ -103,6 +110,11 @@ def vocabulary(index: Index, prefix: str) -> DataFrame:
     return index.terms.where(F.col("term").startswith(prefix)).orderBy("term")
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """(term, citekey, gaps): rows of ``postings`` as one for each document."""
+    return rows.select("term", F.explode(F.arrays_zip("citekeys", "gaps")).alias("e")).select("term", F.col("e.citekeys").alias("citekey"), F.col("e.gaps").alias("gaps"))
+
+
 def positions(gaps: Column) -> Column:
     """Positions from gaps: running sums, a block at a time, since an array is copied whenever it grows."""
     none = F.array().cast("array<int>")
@@ -132,18 +144,18 @@ def hits(index: Index, leaf: q.Prefix | q.Phrase) -> DataFrame:
     """The distinct keys of the documents that hold a phrase; the last word of a prefix may go on. No words: none."""
     words, prefix = tx.full_text_of(leaf.text).split(), isinstance(leaf, q.Prefix)
     term = F.col("term")
-    none = index.postings.where(F.lit(False)).select("citekey")
+    none = index.documents.where(F.lit(False)).select("citekey")
     if not words:
         return none
     if len(words) == 1:
-        return index.postings.where(term.startswith(words[0]) if prefix else term == words[0]).select("citekey").distinct()
+        return index.postings.where(term.startswith(words[0]) if prefix else term == words[0]).select(F.explode("citekeys").alias("citekey")).distinct()
     counts = _rarity(index, words, prefix)
     if 0 in counts:
         return none
     rarest = min(range(len(words)), key=lambda i: (counts[i], i))
     is_word = [term.startswith(w) if prefix and i == len(words) - 1 else term == w for i, w in enumerate(words)]
-    few = index.postings.where(is_word[rarest])
-    rows = index.postings.where(reduce(Column.__or__, is_word) & ~is_word[rarest])
+    few = entries(index.postings.where(is_word[rarest]))
+    rows = entries(index.postings.where(reduce(Column.__or__, is_word) & ~is_word[rarest]))
     if counts[rarest] <= NARROWS * sum(counts):
         rows = rows.join(few.select("citekey"), "citekey", "left_semi")
     rows = few.unionByName(rows).withColumn("at", positions(F.col("gaps")))
