@@ -1,8 +1,9 @@
 """A full-text index: positional postings in order of their terms, and a sorted dictionary.
 
-``postings`` has rows (term, citekeys, gaps): some documents that hold the term, and for each the term's positions as gaps.
-A task makes the rows of its own documents, one a term for some megabytes of text, so neither words nor single postings
-are shuffled; then the rows are range-partitioned and sorted by (term, first key). A term so lies in few files, whose row groups say which terms they hold, and a frequent term
+A slice is some megabytes of texts of one task; ``keys`` (slice, citekeys) says which. ``postings`` has a row for each term
+of each slice: (term, slice, docs, counts, gaps), the documents that hold the term by their place in the slice, how often
+each does, and their positions as gaps, one document's after the other's. So neither words nor single postings nor keys
+are shuffled; the rows are range-partitioned and sorted by (term, slice). A term so lies in few files, whose row groups say which terms they hold, and a frequent term
 is spread over as many files as it needs. ``terms`` is the dictionary: (term, documents, occurrences), sorted too.
 ``documents`` holds the other columns, without texts.
 
@@ -20,6 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,16 @@ class Index:
 
     documents: DataFrame
     postings: DataFrame
+    keys: DataFrame
     terms: DataFrame
 
 
-def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Postings of (citekey, fts_norm), sorted by term."""
+NAMES = ["term", "slice", "docs", "counts", "gaps", "citekeys"]
+_ROWS = "term string, slice long, docs array<int>, counts array<int>, gaps array<int>, citekeys array<string>"
+
+
+def _posted(batch: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a slice (citekey, fts_norm), and a row without a term that holds its keys."""
     words = pc.split_pattern(pc.utf8_trim(pc.fill_null(batch.column(1), ""), " "), " ")
     offsets = words.offsets.to_numpy().astype(np.int64)
     flat = words.flatten()
@@ -65,21 +72,26 @@ def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
     gaps = np.diff(at, prepend=np.int32(0))
     gaps[first] = at[first]
     row = np.flatnonzero(np.r_[True, code[first][1:] != code[first][:-1]]) if len(first) else np.zeros(0, np.int64)
-    outer = pa.array(np.r_[row, len(first)].astype(np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(gaps.astype(np.int32)))
-    keys = batch.column(0).take(pa.array(doc[order][first]))
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+    outer = np.r_[row, len(first)]
     terms = coded.dictionary.take(pa.array(code[first][row])).cast(pa.string())
-    return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(outer, keys), pa.ListArray.from_arrays(outer, lists)], ["term", "citekeys", "gaps"])
+    counts = np.diff(np.r_[first, len(at)])
+    n, strings = len(row), pa.list_(pa.string())
+    yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(n, number)), lists(outer, doc[order][first]), lists(outer, counts), lists(np.r_[first[row], len(at)], gaps), pa.nulls(n, strings)], NAMES)
+    none = pa.nulls(1, pa.list_(pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), none, none, none, pa.array([batch.column(0).to_pylist()], strings)], NAMES)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(ends):
             before = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-            yield _posted(batch.slice(start, stop - start))
+            yield from _posted(batch.slice(start, stop - start), number)
+            number += 1
             start = stop
 
 
@@ -90,19 +102,19 @@ def build(documents: DataFrame, path: str, parts: int | None = None) -> Index:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents.drop("fts_norm").write.parquet(f"{path}/documents")
     # Range partitioning looks at its input twice, so the postings are made once and kept until they are sorted.
-    documents.where("citekey IS NOT NULL").select("citekey", "fts_norm").mapInArrow(_sliced, "term string, citekeys array<string>, gaps array<array<int>>").write.option("compression", "zstd").parquet(f"{path}/unsorted")
-    loose = spark.read.parquet(f"{path}/unsorted")
-    order = ["term", F.get("citekeys", F.lit(0))]
-    loose.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{path}/postings")
-    held = F.aggregate("gaps", F.lit(0), lambda n, g: n + F.size(g))
-    counted = loose.groupBy("term").agg(F.sum(F.size("citekeys")).alias("documents"), F.sum(held).alias("occurrences"))
+    documents.where("citekey IS NOT NULL").select("citekey", "fts_norm").mapInArrow(_sliced, _ROWS).write.option("compression", "zstd").parquet(f"{path}/unsorted")
+    loose = spark.read.schema(_ROWS).parquet(f"{path}/unsorted")
+    loose.where("term IS NULL").select("slice", "citekeys").write.parquet(f"{path}/keys")
+    loose = loose.where("term IS NOT NULL").drop("citekeys")
+    loose.repartitionByRange(parts, "term", "slice").sortWithinPartitions("term", "slice").write.option("compression", "zstd").parquet(f"{path}/postings")
+    counted = loose.groupBy("term").agg(F.sum(F.size("docs")).alias("documents"), F.sum(F.size("gaps")).alias("occurrences"))
     counted.sort("term").write.parquet(f"{path}/terms")
     delete(spark, f"{path}/unsorted")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "keys", "terms")))
 
 
 def vocabulary(index: Index, prefix: str) -> DataFrame:
@@ -111,8 +123,14 @@ def vocabulary(index: Index, prefix: str) -> DataFrame:
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """(term, citekey, gaps): rows of ``postings`` as one for each document."""
-    return rows.select("term", F.explode(F.arrays_zip("citekeys", "gaps")).alias("e")).select("term", F.col("e.citekeys").alias("citekey"), F.col("e.gaps").alias("gaps"))
+    """(term, slice, doc, gaps): rows of ``postings`` as one for each document."""
+    each = F.transform(F.arrays_zip("docs", "counts", positions(F.col("counts")).alias("ends")), lambda e: F.struct(e["docs"].alias("doc"), F.slice(F.col("gaps"), e["ends"] - e["counts"] + 1, e["counts"]).alias("gaps")))
+    return rows.select("term", "slice", F.explode(each).alias("e")).select("term", "slice", "e.doc", "e.gaps")
+
+
+def keys_of(index: Index, found: DataFrame) -> DataFrame:
+    """The keys (citekey) of documents (slice, doc)."""
+    return found.join(index.keys.select("slice", F.posexplode("citekeys").alias("doc", "citekey")), ["slice", "doc"]).select("citekey")
 
 
 def positions(gaps: Column) -> Column:
@@ -148,7 +166,8 @@ def hits(index: Index, leaf: q.Prefix | q.Phrase) -> DataFrame:
     if not words:
         return none
     if len(words) == 1:
-        return index.postings.where(term.startswith(words[0]) if prefix else term == words[0]).select(F.explode("citekeys").alias("citekey")).distinct()
+        found = index.postings.where(term.startswith(words[0]) if prefix else term == words[0]).select("slice", F.explode("docs").alias("doc"))
+        return keys_of(index, found.distinct() if prefix else found)
     counts = _rarity(index, words, prefix)
     if 0 in counts:
         return none
@@ -157,12 +176,12 @@ def hits(index: Index, leaf: q.Prefix | q.Phrase) -> DataFrame:
     few = entries(index.postings.where(is_word[rarest]))
     rows = entries(index.postings.where(reduce(Column.__or__, is_word) & ~is_word[rarest]))
     if counts[rarest] <= NARROWS * sum(counts):
-        rows = rows.join(few.select("citekey"), "citekey", "left_semi")
+        rows = rows.join(few.select("slice", "doc"), ["slice", "doc"], "left_semi")
     rows = few.unionByName(rows).withColumn("at", positions(F.col("gaps")))
     # Where each word would have the phrase begin.
     begins = [F.flatten(F.collect_list(F.when(is_word[i], F.transform("at", _back(i))))).alias(f"w{i}") for i in range(len(words))]
-    together = rows.groupBy("citekey").agg(*begins)
-    return together.where(F.size(reduce(F.array_intersect, [F.col(f"w{i}") for i in range(len(words))])) > 0).select("citekey")
+    together = rows.groupBy("slice", "doc").agg(*begins)
+    return keys_of(index, together.where(F.size(reduce(F.array_intersect, [F.col(f"w{i}") for i in range(len(words))])) > 0))
 
 
 def _leaves(tree) -> set:
