@@ -31,7 +31,7 @@ from quillstack.plans import querylang as q
 from quillstack.sources.tables import delete
 
 #: Bytes of texts that one numpy step works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Positions that are summed before they join the others.
 BLOCK = 256
 #: A rarer word's documents narrow the other words' postings where they are at most this part of all.
@@ -107,9 +107,10 @@ def build(documents: DataFrame, path: str, parts: int | None = None) -> Index:
     loose.where("term IS NULL").select("slice", "citekeys").write.parquet(f"{path}/keys")
     loose = loose.where("term IS NOT NULL").drop("citekeys")
     loose.repartitionByRange(parts, "term", "slice").sortWithinPartitions("term", "slice").write.option("compression", "zstd").parquet(f"{path}/postings")
-    counted = loose.groupBy("term").agg(F.sum(F.size("docs")).alias("documents"), F.sum(F.size("gaps")).alias("occurrences"))
-    counted.sort("term").write.parquet(f"{path}/terms")
     delete(spark, f"{path}/unsorted")
+    # Sorted as they are now, a term's rows are counted before they are shuffled.
+    counted = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("docs")).alias("documents"), F.sum(F.size("gaps")).alias("occurrences"))
+    counted.sort("term").write.parquet(f"{path}/terms")
     return load(spark, path)
 
 
