@@ -174,8 +174,9 @@ def hits(index: Index, leaf: q.Prefix | q.Phrase) -> DataFrame:
         return none
     rarest = min(range(len(words)), key=lambda i: (counts[i], i))
     is_word = [term.startswith(w) if prefix and i == len(words) - 1 else term == w for i, w in enumerate(words)]
-    few = entries(index.postings.where(is_word[rarest]))
-    rows = entries(index.postings.where(reduce(Column.__or__, is_word) & ~is_word[rarest]))
+    # A term's rows are neighbours in few files: they are dealt out by slice while they are compact, and stay so dealt.
+    few = entries(index.postings.where(is_word[rarest]).repartition("slice"))
+    rows = entries(index.postings.where(reduce(Column.__or__, is_word) & ~is_word[rarest]).repartition("slice"))
     if counts[rarest] <= NARROWS * sum(counts):
         rows = rows.join(few.select("slice", "doc"), ["slice", "doc"], "left_semi")
     rows = few.unionByName(rows).withColumn("at", positions(F.col("gaps")))
