@@ -200,9 +200,9 @@ def idempotent(spark, sf):
 _ORDERS = "SELECT o_orderkey, 'o' || o_orderkey AS citekey, o_orderstatus AS type, o_custkey AS holder FROM orders"
 
 
-def _records(spark, sf, holder=F.col("o_custkey")):
+def _records(spark, sf, more=0):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("citekey"), F.col("o_orderstatus").alias("type"), holder.alias("holder"))
+    return o.select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("citekey"), F.col("o_orderstatus").alias("type"), (F.col("o_custkey") + more).alias("holder"))
 
 
 def _filled(spark, sf):
@@ -210,7 +210,7 @@ def _filled(spark, sf):
     index, docs = shared_path(spark, "versions"), _records(spark, sf)
     n = F.col("o_orderkey")
     versions.commit(index, docs.where(n % 13 != 0).drop("o_orderkey"), source="orders", batch=0)
-    changed = _records(spark, sf, F.col("o_custkey") + 1).where(((n % 5 == 0) | (n % 13 == 0)) & (n % 17 != 0))
+    changed = _records(spark, sf, 1).where(((n % 5 == 0) | (n % 13 == 0)) & (n % 17 != 0))
     for _ in range(2):  # the second time it is known, and nothing is written
         versions.commit(index, changed.drop("o_orderkey"), docs.where(n % 17 == 0), "orders", 1)
     return index
