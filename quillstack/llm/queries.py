@@ -92,7 +92,7 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(secrets.samples(docs)))
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, rank=rank: s["rank"] == rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])]
+    counts = [F.size(secrets.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 

@@ -151,6 +151,12 @@ def scan(df: DataFrame, model: list[float], text: str = "text", spans: str = "sp
     return found.withColumn(spans, F.when(F.size(more) > 0, F.array_sort(F.concat(F.col(base), clear))).otherwise(F.col(base))).drop(base, more)
 
 
+def of_kind(spans: Column, kind: str) -> Column:
+    """The spans of a kind."""
+    rank = KINDS.index(kind)
+    return F.filter(spans, lambda s: s["rank"] == rank)
+
+
 def written(spans: Column) -> Column:
     """Spans as text: ``kind:start:end``, joined by commas."""
     names = F.array(*map(F.lit, KINDS))

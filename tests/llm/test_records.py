@@ -149,14 +149,21 @@ def test_many_matches(spark, model):
     assert [tuple(s) for s in r.spans] == [(33 * i, 2, 33 * i + 32) for i in range(2000)]
 
 
-def test_op12(spark):
-    rows = {r.doc_id: r for r in queries.op12_secrets(spark, SF).collect()}
-    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+def test_op12(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = [None, "", "token = '" + "ab12" * 10 + "' and AKIA" + "Q7" * 8 + " secret: 12345678 secret: 1"] + [random_text(rnd) for _ in range(120)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows, seen = {r.doc_id: r for r in queries.op12_secrets(spark, str(tmp_path)).collect()}, [0, 0, 0]
+    for d in docs.collect():
         r, want = rows[d.doc_id], plain_spans(d.text or "")
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3))
+        counts = [sum(s[1] == k for s in want) for k in range(3)]
+        assert [r.n_assign, r.n_access, r.n_hex] == counts
+        seen = [a + b for a, b in zip(seen, counts)]
         said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in said.split(",") if x]
+    assert all(seen) and len(set(seen)) == 3
 
 
 # Manifest.
