@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import records as rec
 from quillstack.functions.similarity import jaro_winkler
+from quillstack.operators.numbering import numbered
+from quillstack.sources.tables import delete
 
 
 @dataclass(frozen=True)
@@ -66,13 +68,22 @@ def interleave(ranked: DataFrame, limit: int | None = None) -> DataFrame:
     """Sources take turns, the one with the best candidate first; ``place`` numbers the result from 1.
 
     A limit is applied to each source before the sources meet, which changes nothing in the result: no more than so many
-    of a source can be in it. Without one, everything is ordered by (turn, source)."""
-    by_source = ranked.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy(*order())))
+    of a source can be in it. Without one, nothing is held in one task: turns, sources and places are numbered by range
+    (``numbering``), so a source may be any share of the candidates; the table that the result reads stays in
+    ``spark.checkpoint.dir``."""
+    met = lambda rows, best: rows.alias("l").join(best.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_ord")
     if limit is not None:
-        by_source = by_source.where(F.col("turn") <= max(limit, 1))
-    best = by_source.where("turn = 1").withColumn("source_ord", F.row_number().over(W.orderBy(*order()))).select("source", "source_ord")  # one row a source
-    out = by_source.join(F.broadcast(best), "source").orderBy("turn", "source_ord")
-    return out.limit(max(limit, 1)) if limit is not None else out
+        top = max(limit, 1)
+        by_source = ranked.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy(*order())).cast("bigint")).where(F.col("turn") <= top)
+        best = by_source.where("turn = 1").withColumn("source_ord", F.row_number().over(W.orderBy(*order())).cast("bigint")).select("source", "source_ord")  # one row a source
+        first = met(by_source, best).orderBy("turn", "source_ord").limit(top)
+        return first.withColumn("place", F.row_number().over(W.orderBy("turn", "source_ord")).cast("bigint")).orderBy("place")
+    by_source, turns = numbered(ranked, ["source"], order(), "turn")
+    best, sources = numbered(by_source.where("turn = 1"), [], order(), "source_ord")
+    out, _ = numbered(met(by_source, best.select("source", "source_ord")), [], [F.col("turn").asc(), F.col("source_ord").asc()], "place")
+    for path in (turns, sources):
+        delete(ranked.sparkSession, path)
+    return out.orderBy("place")
 
 
 def rank(wanted: Wanted, candidates: DataFrame) -> DataFrame:

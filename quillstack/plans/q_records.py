@@ -164,7 +164,13 @@ def rank_order(spark, sf):
 
 @query("w_03_interleave", f"WITH {CANDIDATE_SQL} SELECT p_partkey, CAST(turn AS INT) AS turn, CAST(source_ord AS INT) AS source_ord FROM placed")
 def interleave(spark, sf):
-    return ranking.interleave(ranking.scored(WANTED, candidates(spark, sf))).select("p_partkey", "turn", "source_ord")
+    placed = ranking.interleave(ranking.scored(WANTED, candidates(spark, sf)))
+    return placed.select("p_partkey", F.col("turn").cast("int").alias("turn"), F.col("source_ord").cast("int").alias("source_ord"))
+
+
+@query("w_03_places", f"WITH {CANDIDATE_SQL} SELECT p_partkey, row_number() OVER (ORDER BY turn, source_ord) AS place FROM placed")
+def places(spark, sf):
+    return ranking.interleave(ranking.scored(WANTED, candidates(spark, sf))).select("p_partkey", "place")
 
 
 @query("o_04_limit", f"WITH {CANDIDATE_SQL} SELECT p_partkey, score FROM placed ORDER BY turn, source_ord LIMIT 25")
