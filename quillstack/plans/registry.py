@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["q_search", "q_records", "q_formats", "q_imports", "q_identify"]
+MODULES = ["q_search", "q_records", "q_formats", "q_imports", "q_identify", "q_library"]
 
 
 def _all(name: str) -> dict:

@@ -35,7 +35,7 @@ BODY = (
 
 def files(spark: SparkSession, root: str, names: str = "info.y*ml") -> DataFrame:
     """(path, dir, citekey, name, content) of info files below ``root``; hidden directories are skipped. Spark's own
-    listing also leaves out files and directories that start with ``_``."""
+    listing also leaves out files and directories that start with ``_``; ``walk`` has them."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     path = F.regexp_replace("path", "/+$", "")
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
@@ -139,6 +139,8 @@ def parsed(listing: DataFrame) -> DataFrame:
             rows, errors = [], []
             for content in batch.column("content").to_pylist():
                 try:
+                    if content is None:
+                        raise ValueError("the file can't be read")
                     rows.append(shred(load_yaml(content.decode())))
                     errors.append(None)
                 except Exception as e:  # any reason that a file can't be read goes to the error channel
