@@ -289,7 +289,7 @@ def save(documents: DataFrame, root: str, create: bool = False) -> DataFrame:
 
     Nothing is written that doesn't read back as an entry, that would leave the root or whose directory's name is no key;
     with ``create`` none whose directory is there already. Of rows of one ``dir`` all are refused, since none goes first.
-    Nulls are refused."""
+    Nulls are refused. What was decided stays as a table in ``spark.checkpoint.dir`` for the result."""
     form = "dir string, text string, reason string"
     store, base = _store(root)
     base = base if store is None else None
