@@ -51,7 +51,7 @@ def walked(spark, sf):
     return walk.paths(spark, library(spark, sf)).select("citekey", below().alias("dir"), "name")
 
 
-@query("s_04_full_scan", f"SELECT {_KEY} AS citekey, CASE WHEN {_BAD} THEN NULL ELSE p_name END AS title, CASE WHEN {_BAD} THEN NULL ELSE 1950 + p_size END AS year, {_BAD} AS failed FROM part")
+@query("s_04_full_scan", f"SELECT {_KEY} AS citekey, CASE WHEN {_BAD} THEN NULL ELSE p_name END AS title, CASE WHEN {_BAD} THEN NULL ELSE CAST(1950 + p_size AS BIGINT) END AS year, {_BAD} AS failed FROM part")
 def full_scan(spark, sf):
     docs, errors = walk.documents(spark, library(spark, sf))
     good = docs.select("citekey", "title", "year", F.lit(False).alias("failed"))
