@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.plans.fixtures import table
-from quillstack.sources import walk
+from quillstack.sources import bibfile, walk
 from quillstack.sources.tables import shared_path
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -81,3 +81,25 @@ def save(spark, sf):
     outside = table(spark, sf, "part").selectExpr(f"concat('../', {_KEY}) AS dir", "'type: book' AS text")
     refused = walk.save(asked.unionByName(outside), root).select("dir", F.lit("refused").alias("outcome"))
     return refused.unionByName(walk.paths(spark, root).select(below().alias("dir"), F.lit("written").alias("outcome")))
+
+
+def bib_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of BibTeX files of all parts: a string and an entry that names it, in its note a record that is none; every
+    seventh is followed by one that is never closed."""
+    record = rf"""concat('@string{{b', p_partkey, ' = {{', p_brand, '}} # " {{@}} "}}\n@book{{', {_KEY}, ',\n title = {{', p_name, '}},\n note = {{see\n@misc{{no, title={{x}}}}\n}},\n year = ', 1950 + p_size, ',\n publisher = B', p_partkey, ' # {{', p_type, '}}}}', CASE WHEN {_BAD} THEN '\n@misc{{open, title = {{x' ELSE '' END)"""
+    path = shared_path(spark, "bib")
+    table(spark, sf_dir, "part").selectExpr(f"{record} AS value").write.text(path)
+    return path
+
+
+@query("s_08_split", f"SELECT {_KEY} AS key, 'book' AS type, p_name AS title, CAST(1950 + p_size AS VARCHAR) AS year, p_brand || ' @ ' || p_type AS publisher FROM part")
+def bib_split(spark, sf):
+    found = bibfile.read(spark, bib_files(spark, sf))[0].where("error IS NULL")
+    return found.select("key", *(F.get_json_object("body", f"$.{a}").alias(b) for a, b in (("type", "type"), ("title", "title"), ("date", "year"), ("publisher", "publisher"))))
+
+
+@query("s_08_errors", f"SELECT count(*) AS errors FROM part WHERE {_BAD}")
+def bib_errors(spark, sf):
+    """Errors that are told one by one, and the number of the others."""
+    errors = bibfile.read(spark, bib_files(spark, sf))[0].where("error IS NOT NULL")
+    return errors.agg(F.coalesce(F.sum(F.when(F.col("block").isNull(), F.split("error", " ")[1].cast("bigint")).otherwise(1)), F.lit(0)).cast("bigint").alias("errors"))

@@ -164,9 +164,13 @@ def _plain(tex: str) -> str:
     return " ".join(re.sub(r"\\[A-Za-z]+\s*|[{}]", "", tex).split())
 
 
-def parse_bibtex(text: str) -> tuple[list[dict], list[str]]:
-    """(entries, errors): each entry has ``key``, ``type`` and its fields in plain text. Strings and ``#`` are resolved."""
-    entries, errors, names = [], [], {m: m for m in MONTHS}
+def parse_bibtex(text: str, names: dict[str, str] | None = None) -> tuple[list[dict], list[str]]:
+    """(entries, errors): each entry has ``key``, ``type`` and its fields in plain text. Strings and ``#`` are resolved;
+    ``names`` are strings that are known before, the text's own are added to them."""
+    entries, errors = [], []
+    names = {} if names is None else names
+    for m in MONTHS:
+        names.setdefault(m, m)
     at = 0
     while (at := text.find("@", at)) >= 0:
         head = re.compile(r"@\s*(\w+)\s*([{(])").match(text, at)
