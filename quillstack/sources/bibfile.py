@@ -60,9 +60,10 @@ def starts(rows: DataFrame) -> DataFrame:
 
     The depth never falls below 0: a brace too many closes nothing."""
     here = W.partitionBy("file", "block").orderBy("row")
-    so_far, from_here = here.rowsBetween(W.unboundedPreceding, 0), here.rowsBetween(0, W.unboundedFollowing)
-    files = W.partitionBy("file").orderBy("block")
-    earlier, later = files.rowsBetween(W.unboundedPreceding, -1), files.rowsBetween(1, W.unboundedFollowing)
+    so_far, files = here.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("file").orderBy("block")
+    # What follows is taken backwards: a frame that grows from its start is summed once, one that shrinks anew by row.
+    from_here = W.partitionBy("file", "block").orderBy(F.desc("row")).rowsBetween(W.unboundedPreceding, 0)
+    earlier, later = files.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("file").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     spot = F.struct("block", "row")
 
     rows = rows.withColumn("sum", F.sum("depth").over(so_far)).withColumn("dip", F.col("sum") - F.col("depth") + F.col("low")).withColumn("least", F.min("dip").over(so_far))
@@ -76,8 +77,8 @@ def starts(rows: DataFrame) -> DataFrame:
     ends = ends.select("file", "block", F.lag("open").over(files).alias("came"), F.min("reached").over(later).alias("to_come"))
     rows = rows.join(ends, ["file", "block"])
     before = F.coalesce(F.lag("open").over(here), F.col("came"))
-    free = before.isNull() | (F.col("head") & (before <= F.least(F.min("reached").over(from_here), F.col("to_come"))))
-    rows = rows.select(*PLACE, free.alias("free"))
+    rows = rows.withColumn("before", before).withColumn("reached", F.least(F.min("reached").over(from_here), "to_come"))
+    rows = rows.select(*PLACE, (F.col("before").isNull() | (F.col("head") & (F.col("before") <= F.col("reached")))).alias("free"))
 
     last = rows.groupBy("file", "block").agg(F.max(F.when(F.col("free"), spot)).alias("at"), F.min_by("free", "row").alias("free"))
     last = last.select("file", "block", F.max("at").over(earlier).alias("held"), F.coalesce(F.lead("free").over(files), F.lit(True)).alias("next"))
