@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.plans.fixtures import table
 from quillstack.sources import bibfile, walk
-from quillstack.sources.tables import shared_path
+from quillstack.sources.tables import dealt, shared_path
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -38,7 +38,7 @@ def library(spark: SparkSession, sf_dir: str) -> str:
     spark.dataSource.register(walk.LibrarySource)
     files = entries(spark, sf_dir)
     hidden = files.where("dir LIKE 'size%'").selectExpr("concat('.bib/', dir) AS dir", "text")
-    files.unionByName(hidden).write.format("library").mode("append").save(root)
+    dealt(files.unionByName(hidden), "dir").write.format("library").mode("append").save(root)
     return root
 
 
@@ -53,9 +53,7 @@ def walked(spark, sf):
 
 @query("s_04_full_scan", f"SELECT {_KEY} AS citekey, CASE WHEN {_BAD} THEN NULL ELSE p_name END AS title, CASE WHEN {_BAD} THEN NULL ELSE CAST(1950 + p_size AS BIGINT) END AS year, {_BAD} AS failed FROM part")
 def full_scan(spark, sf):
-    docs, errors = walk.documents(spark, library(spark, sf))
-    good = docs.select("citekey", "title", "year", F.lit(False).alias("failed"))
-    return good.unionByName(errors.select("citekey", F.lit(None).cast("string").alias("title"), F.lit(None).cast("bigint").alias("year"), F.lit(True).alias("failed")))
+    return walk.scanned(spark, library(spark, sf)).select("citekey", "title", "year", F.col("error").isNotNull().alias("failed"))
 
 
 @query("s_07_shelf", f"SELECT {_KEY} AS citekey, p_name AS title FROM part WHERE p_partkey % 3 = 0 AND p_brand = 'Brand#2' AND NOT {_BAD}")

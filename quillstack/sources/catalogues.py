@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import identifiers as ids
 from quillstack.functions import records as rec
+from quillstack.sources.tables import dealt
 
 AUTHOR = "struct<family:string,given:string,literal:string,suffix:string,particle:string>"
 RECORD = {
@@ -360,4 +361,4 @@ def from_texts(df: DataFrame, form: str, body: str = "body") -> DataFrame:
             out.append([{"key": k, "body": json.dumps(v, ensure_ascii=False, default=str), "error": None} for k, v in found] + [{"key": None, "body": None, "error": e} for e in told])
         return pd.Series(out)
 
-    return df.select(F.explode(parse(body)).alias("e")).select("e.*")
+    return dealt(df.select(body)).select(F.explode(parse(body)).alias("e")).select("e.*")

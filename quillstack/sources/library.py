@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,9 @@ ENTRY_TYPES = "article chapter entry anthos report thesis web scene artwork pate
 #: The reserved key under which a library's own data stands in an entry; any top-level ``x-`` key with a mapping is read.
 META_KEY = "x-meta"
 SERIALS = ("doi", "arxiv", "isbn", "issn", "pmid")
+#: Fixed value: tabs, byte order marks, comments at a block's head, bare tags, question marks in flow style: libyaml takes some of what
+#: the plain parser refuses.
+APART = re.compile(r"[\t\ufeff]|[|>][-+0-9]*#|(?:^|[\s\[{,])!(?:[\s,\]}]|\Z)|[\[{][\s\S]*\?")
 
 BODY = (
     "type string, title string, parent_title string, date string, publisher string, abstract string, persons array<struct<role:string,position:int,name:string>>, "
@@ -51,11 +55,12 @@ def preferred(listing: DataFrame, first: str = "info.yml") -> DataFrame:
     return listing.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def yaml_loader():
-    """A loader that keeps dates, yes/no and base-60 numbers as text."""
+@lru_cache(maxsize=2)
+def yaml_loader(fast: bool = False):
+    """A loader that keeps dates, yes/no and base-60 numbers as text; ``fast`` where libyaml is there: its parser."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader) if fast else yaml.SafeLoader):
         pass
 
     Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t not in ("tag:yaml.org,2002:timestamp", "tag:yaml.org,2002:bool", "tag:yaml.org,2002:int", "tag:yaml.org,2002:float")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
@@ -66,8 +71,15 @@ def yaml_loader():
 
 
 def load_yaml(text: str):
+    """What a YAML text says. A text that the fast parser refuses is judged by the plain one, whose reasons are told; so is
+    one with what the two may take differently."""
     import yaml
 
+    if not APART.search(text):
+        try:
+            return yaml.load(text, yaml_loader(fast=True))
+        except Exception:  # the plain parser says why, or takes it
+            pass
     return yaml.load(text, yaml_loader())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -18,6 +18,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out evenly, or by a hash of columns, to several tasks a core at least, which adaptive execution doesn't
+    join again: for work that costs far more than the bytes of its rows tell."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by)
+
+
 def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ import os
 import posixpath
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from quillstack.functions.labels import problem
 from quillstack.sources import library
-from quillstack.sources.tables import shared_path
+from quillstack.sources.tables import dealt, shared_path
 
 #: Names of info files, the preferred one first.
 NAMES = ("info.yml", "info.yaml")
@@ -43,17 +43,28 @@ def _store(root: str):
     return found, path.rstrip("/")
 
 
-def listed(store, path: str) -> tuple[list[str], set[str]]:
-    """(names of directories, info files) of a directory. Hidden directories are left out, and on this machine links to
-    directories, so that no walk runs in a circle; a link to a file is a file."""
+def listed(store, path: str, kept: Callable[[str], bool] = lambda name: True) -> tuple[list[str], set[str]]:
+    """(names of directories, info files) of a directory; of the directories only those ``kept`` are held. Hidden ones are
+    left out, and on this machine links to directories, so that no walk runs in a circle; a link to a file is a file."""
+    names, info = [], set()
     if store is None:
         with os.scandir(path) as entries:
-            all_ = [(e.name, e.is_dir(follow_symlinks=False), e.name in NAMES and e.is_file()) for e in entries]
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    if not e.name.startswith(".") and kept(e.name):
+                        names.append(e.name)
+                elif e.name in NAMES and e.is_file():
+                    info.add(e.name)
     else:
         from pyarrow import fs
 
-        all_ = [(i.base_name, i.type == fs.FileType.Directory, i.base_name in NAMES and i.type == fs.FileType.File) for i in store.get_file_info(fs.FileSelector(path))]
-    return sorted(n for n, directory, _ in all_ if directory and not n.startswith(".")), {n for n, _, info in all_ if info}
+        for i in store.get_file_info(fs.FileSelector(path)):
+            if i.type == fs.FileType.Directory:
+                if not i.base_name.startswith(".") and kept(i.base_name):
+                    names.append(i.base_name)
+            elif i.base_name in NAMES and i.type == fs.FileType.File:
+                info.add(i.base_name)
+    return sorted(names), info
 
 
 def _is_directory(store, path: str) -> bool:
@@ -135,7 +146,8 @@ class LibraryReader(DataSourceReader):
                 yield d, listed(store, d)[1]
         stack = list(reversed(walk.deep))
         for d, number, of in walk.shared:
-            stack += [f"{d.rstrip('/')}/{n}" for n in listed(store, d)[0] if zlib.crc32(n.encode("utf-8", "surrogateescape")) % of == number]
+            mine = lambda n: zlib.crc32(n.encode("utf-8", "surrogateescape")) % of == number  # noqa: B023, E731
+            stack += [f"{d.rstrip('/')}/{n}" for n in listed(store, d, mine)[0]]
         while stack:
             d = stack.pop()
             if self._leads(d):
@@ -182,14 +194,18 @@ class LibraryWriter(DataSourceArrowWriter):
         """Each file is written beside its place and renamed, so a reader finds the old or the new one, whole; a task that
         runs again writes the same."""
         store, root = _store(self.root)
+        task = uuid.uuid4().hex
         for batch in iterator:
             for d, text in zip(batch.column("dir").to_pylist(), batch.column("text").to_pylist()):
                 target = f"{root}/{d}/{NAMES[0]}"
-                loose = f"{target}.{uuid.uuid4().hex}.tmp"
+                loose = f"{target}.{task}.tmp"
                 if store is None:
-                    os.makedirs(f"{root}/{d}", exist_ok=True)
-                    with open(loose, "w", encoding="utf-8") as f:
-                        f.write(text)
+                    try:
+                        os.mkdir(f"{root}/{d}")
+                    except OSError:  # it is there, or what it stands in isn't
+                        os.makedirs(f"{root}/{d}", exist_ok=True)
+                    with open(loose, "wb") as f:
+                        f.write(text.encode())
                     os.replace(loose, target)
                 else:
                     store.create_dir(f"{root}/{d}", recursive=True)
@@ -258,19 +274,26 @@ def opened(listing: DataFrame, root: str) -> DataFrame:
                     at, held, size = i + 1, [], 0
 
     listing = listing.select("path", "dir", "citekey", "name")
-    return listing.repartition("path").mapInArrow(run, "path string, dir string, citekey string, name string, content binary")
+    return dealt(listing, "path").mapInArrow(run, "path string, dir string, citekey string, name string, content binary")
 
 
-def documents(spark: SparkSession, root: str, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of a library, or of those directories of ``listing`` (from ``paths``). A file that can't be
-    read, isn't an entry or stands in a directory without a usable name is an error and stops no other; of two
-    directories of one name the later path gives the document."""
+def scanned(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """Documents and errors of a library, or of those directories of ``listing`` (from ``paths``), as one table that parses
+    each file once: ``error`` is null for documents. A file that can't be read, isn't an entry or stands in a directory
+    without a usable name is an error and stops no other; of two directories of one name the later path gives the
+    document."""
     read = library.parsed(opened(paths(spark, root) if listing is None else listing, root))
     all_ = read.withColumn("error", F.when(F.col("citekey").isNull(), "no usable directory name").otherwise(F.col("error")))
-    last = W.partitionBy("citekey").orderBy(F.desc("dir"))
-    good = all_.where("error IS NULL").drop("error").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    last = W.partitionBy("citekey", F.col("error").isNull()).orderBy(F.desc("dir"))
+    all_ = all_.withColumn("_n", F.row_number().over(last)).where("_n = 1 OR error IS NOT NULL").drop("_n")
     year = F.regexp_extract("date", r"^-?[0-9]{4}", 0).try_cast("bigint")
-    return good.withColumn("year", year).withColumn("fts_norm", library.full_text_of(good)), all_.where("error IS NOT NULL").select("citekey", "dir", "error")
+    return all_.withColumn("year", year).withColumn("fts_norm", library.full_text_of(all_))
+
+
+def documents(spark: SparkSession, root: str, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of a library: the two parts of ``scanned``. Where both are used, each parses all files."""
+    all_ = scanned(spark, root, listing)
+    return all_.where("error IS NULL").drop("error"), all_.where("error IS NOT NULL").select("citekey", "dir", "error")
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
@@ -316,12 +339,12 @@ def save(documents: DataFrame, root: str, create: bool = False) -> DataFrame:
     spark = documents.sparkSession
     spark.dataSource.register(LibrarySource)
     twice = F.count("*").over(W.partitionBy("dir")) > 1
-    one = documents.select("dir", "text").withColumn("_twice", twice)
+    one = dealt(documents.select("dir", "text"), "dir").withColumn("_twice", twice)
     judged = one.where("NOT _twice").drop("_twice").mapInArrow(judge, form)
     named = F.concat(F.lit("no key: "), problem(F.regexp_extract("dir", "[^/]*$", 0)))
     judged = judged.withColumn("reason", F.coalesce("reason", named))
     path = shared_path(spark, "saved")  # what is written and what is refused is decided once
     judged.unionByName(one.where("_twice").select("dir", "text", F.lit("several texts").alias("reason"))).write.parquet(path)
     decided = spark.read.parquet(path)
-    decided.where("reason IS NULL").select("dir", "text").write.format("library").mode("append").save(root)
+    dealt(decided.where("reason IS NULL").select("dir", "text"), "dir").write.format("library").mode("append").save(root)
     return decided.where("reason IS NOT NULL").select("dir", "reason")

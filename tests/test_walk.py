@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.sources import walk
+from quillstack.sources import library, walk
 
 BOOK = "type: book\ntitle: {}\n"
 
@@ -134,3 +134,47 @@ def test_save(spark, tree):
     again = {r.dir: r.reason for r in walk.save(df.where("dir IN ('a', 'new/n2', 'new/n1')"), str(tree), create=True).collect()}
     assert again == {"a": "already exists", "new/n1": "already exists"}
     assert {r.citekey: r.title for r in walk.documents(spark, str(tree))[0].collect()}["n1"] == "N"
+
+
+def test_yaml_parsers_agree():
+    """Whatever text the fast parser takes, the plain one takes alike; what is refused is refused for the plain one's reason."""
+    import random
+
+    import yaml
+
+    plain = library.yaml_loader()
+    assert library.yaml_loader() is plain
+    seeds = ["k:\n  type: book\n  title: \"a: b\"\n", "title: {value: 'x', n: 1_0, f: 1.5}\ndate: 2001-02\ny: yes\nk: true\nz: 010\n", "a: |\n  x\n   y\nb: >-\n  q\n\n  z\n- &x 'y'\n- *x\n"]
+    draw = random.Random(5)
+
+    def said(read, text):
+        try:
+            return repr(read(text))
+        except Exception as e:
+            return str(e)
+
+    for _ in range(2000):
+        text = list(draw.choice(seeds))
+        for _ in range(draw.randint(1, 4)):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randint(0, 1)] = draw.choice(" \n\t:-{}[],'\"#&*!|>%@?~a1.\\é\x00\ufeff")
+        text = "".join(text)
+        assert said(library.load_yaml, text) == said(lambda t: yaml.load(t, plain), text), text
+
+
+def test_parsing_is_dealt_out(spark, tmp_path):
+    """Texts of few bytes are parsed in many tasks, and each file once for documents and errors together."""
+    from quillstack.sources import catalogues
+    from quillstack.sources.tables import dealt
+
+    texts = spark.range(400).coalesce(1).selectExpr("concat('k', id, ':\n  title: t\n') AS body")
+    assert dealt(texts).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    found = catalogues.from_texts(texts, "yaml")
+    assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert {r.key for r in found.collect()} == {f"k{i}" for i in range(400)}
+    for i in range(40):
+        (tmp_path / f"k{i}").mkdir()
+        (tmp_path / f"k{i}" / "info.yml").write_text("type: book\ntitle: t\n" if i % 4 else "type: gadget\n")
+    all_ = walk.scanned(spark, str(tmp_path))
+    assert walk.opened(walk.paths(spark, str(tmp_path)), str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert {(r.citekey, r.error is None) for r in all_.collect()} == {(f"k{i}", i % 4 > 0) for i in range(40)}
