@@ -11,7 +11,7 @@ import os
 import posixpath
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,27 +43,33 @@ def _store(root: str):
     return found, path.rstrip("/")
 
 
-def listed(store, path: str, kept: Callable[[str], bool] = lambda name: True) -> tuple[list[str], set[str]]:
-    """(names of directories, info files) of a directory; of the directories only those ``kept`` are held. Hidden ones are
-    left out, and on this machine links to directories, so that no walk runs in a circle; a link to a file is a file."""
-    names, info = [], set()
+def _entries(store, path: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a directory) of the directories and info files of a directory. Hidden directories are left out,
+    and on this machine links to directories, so that no walk runs in a circle; a link to a file is a file."""
     if store is None:
         with os.scandir(path) as entries:
             for e in entries:
                 if e.is_dir(follow_symlinks=False):
-                    if not e.name.startswith(".") and kept(e.name):
-                        names.append(e.name)
+                    if not e.name.startswith("."):
+                        yield e.name, True
                 elif e.name in NAMES and e.is_file():
-                    info.add(e.name)
+                    yield e.name, False
     else:
         from pyarrow import fs
 
         for i in store.get_file_info(fs.FileSelector(path)):
             if i.type == fs.FileType.Directory:
-                if not i.base_name.startswith(".") and kept(i.base_name):
-                    names.append(i.base_name)
+                if not i.base_name.startswith("."):
+                    yield i.base_name, True
             elif i.base_name in NAMES and i.type == fs.FileType.File:
-                info.add(i.base_name)
+                yield i.base_name, False
+
+
+def listed(store, path: str) -> tuple[list[str], set[str]]:
+    """(names of directories, info files) of a directory."""
+    names, info = [], set()
+    for name, directory in _entries(store, path):
+        names.append(name) if directory else info.add(name)
     return sorted(names), info
 
 
@@ -146,8 +152,8 @@ class LibraryReader(DataSourceReader):
                 yield d, listed(store, d)[1]
         stack = list(reversed(walk.deep))
         for d, number, of in walk.shared:
-            mine = lambda n: zlib.crc32(n.encode("utf-8", "surrogateescape")) % of == number  # noqa: B023, E731
-            stack += [f"{d.rstrip('/')}/{n}" for n in listed(store, d, mine)[0]]
+            share = (n for n, directory in _entries(store, d) if directory and zlib.crc32(n.encode("utf-8", "surrogateescape")) % of == number)
+            stack += [f"{d.rstrip('/')}/{n}" for n in sorted(share)]
         while stack:
             d = stack.pop()
             if self._leads(d):
