@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,14 +92,33 @@ def sanitize(c: Column, n: int = 64) -> Column:
     return F.regexp_replace(F.left(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}\p{Pc}\-:.]+", ""), F.lit(n)), r"[.:]+\z", "")
 
 
-@F.pandas_udf(T.StringType())
-def _normalized(form: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else unicodedata.normalize(f, x) for f, x in zip(form, c)])
+#: Texts, and bytes of texts, that are held as Python strings at once.
+ROWS, HELD = 1024, 1 << 20
+
+
+def _normalized(form: str, texts: pa.Array) -> pa.Array:
+    """The normal form of each text, a few at a time: beside the batch and its result a worker holds ``HELD`` bytes or one
+    text."""
+    done, at, n = [], 0, len(texts)
+    while at < n:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(texts.slice(at, ROWS)), 0).to_numpy(zero_copy_only=False)
+        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), HELD, side="right")))
+        done.append(pa.array([None if x is None else x if x.isascii() else unicodedata.normalize(form, x) for x in texts.slice(at, stop - at).to_pylist()], pa.string()))
+        at = stop
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def normalize(c: Column, form: str = "nfkd") -> Column:
     """A Unicode normal form (nfc, nfkc, nfd, nfkd) or none of them. No built-in function does this."""
-    return c if form == "none" else _normalized(F.lit(form.upper()), c)
+    if form == "none":
+        return c
+    form = form.upper()
+
+    @F.arrow_udf(T.StringType())
+    def normalized(c: pa.Array) -> pa.Array:
+        return _normalized(form, c)
+
+    return normalized(c)
 
 
 def default_key(authors: Column, editors: Column, year: Column, title: Column, n: int = 64) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import identifiers as ids
 from quillstack.functions import text as tx
+from quillstack.sources.tables import dealt
 
 #: Tiers and confidences, in order.
 TIERS = ("filename", "link-annotations", "doc-info", "xmp", "first-page", "last-page", "front-matter", "full-scan", "ocr")
@@ -44,10 +45,12 @@ def rank(candidates: DataFrame) -> DataFrame:
 
     Two tiers that name the same identifier make it certain. Best: confidence, earlier tier, then identifier; of equal
     evidence the first found gives the context."""
-    agreed = F.size(F.collect_set("tier").over(W.partitionBy("doc", "id"))) > 1
-    c = candidates.withColumn("confidence", F.when(agreed, CERTAIN).otherwise(F.col("confidence")))
-    best = W.partitionBy("doc", "id").orderBy(F.desc("confidence"), "tier", "seq")
-    kept = c.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    row = F.struct(*(c for c in candidates.columns if c not in ("doc", "id")))
+    by_confidence = F.struct(F.col("confidence").isNull(), -F.col("confidence"), "tier", "seq")
+    # Rows are few for each identifier: they are dealt out and sorted once, by what they are grouped by.
+    found = dealt(candidates, "doc", "id").groupBy("doc", "id").agg((F.min("tier") < F.max("tier")).alias("_agreed"), F.min_by(row, by_confidence).alias("_best"), F.min_by(row, F.struct("tier", "seq")).alias("_first"))
+    best = F.when(F.col("_agreed"), F.col("_first").withField("confidence", F.lit(CERTAIN))).otherwise(F.col("_best"))
+    kept = found.select("doc", "id", best.alias("_r")).select("doc", "id", "_r.*").select(*candidates.columns)
     return kept.withColumn("place", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("confidence"), "tier", "id")))
 
 
