@@ -83,9 +83,8 @@ def squeeze(c: Column) -> Column:
 
 
 def views(c: Column) -> Column:
-    """The three forms of a text that identifiers are looked for in."""
-    plain = repair(c)
-    return F.array(plain, join_broken_lines(plain), squeeze(plain))
+    """The three forms of a text that identifiers are looked for in. The plain one is made once for all three."""
+    return F.get(F.transform(F.array(repair(c)), lambda plain: F.array(plain, join_broken_lines(plain), squeeze(plain))), F.lit(0))
 
 
 def before_references(c: Column) -> Column:

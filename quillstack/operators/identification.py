@@ -20,7 +20,7 @@ from quillstack.functions import text as tx
 from quillstack.operators import documents, identify
 from quillstack.sources import pdftext
 from quillstack.sources.responses import op_key
-from quillstack.sources.tables import shared_path
+from quillstack.sources.tables import dealt, shared_path
 
 #: Pages of the front matter and of a full scan at most, pages on which a DOI is repeated.
 FRONT, SCANNED, REPEATED = 6, 40, 3
@@ -54,7 +54,7 @@ def text_evidence(texts: DataFrame, tier: int, page_count: Column) -> DataFrame:
     then what the three views of the part before the references hold, in order. A DOI found there has the tier's
     confidence, marked arXiv ids and (from the front matter on) ISBNs are high. Null texts hold nothing."""
     low, high = identify.text_confidence(F.lit(tier), page_count), F.lit(identify.HIGH)
-    t = texts.where("text IS NOT NULL").select("doc", "text", low.cast("int").alias("low"))
+    t = dealt(texts.where("text IS NOT NULL").select("doc", "text", low.cast("int").alias("low")), "doc")
 
     def of(kind: str, found: Column, view: Column, confidence: Column) -> Column:
         return F.transform(found, lambda x: F.struct(ids.identifier(kind, x).alias("id"), confidence.alias("confidence"), documents.snippet(view, x).alias("context")))
@@ -79,7 +79,7 @@ def described(pdfs: DataFrame, runs: DataFrame) -> DataFrame:
     said = runs.where(F.col("op_key").isin(*keys)).groupBy("pdf").agg(*(one(k).alias("_" + k) for k in keys))
     empty = F.create_map().cast("map<string,string>")
     info = lambda c: F.coalesce(pdftext.info(F.col(c)), empty)
-    d = pdfs.join(said, "pdf", "left").select("doc", "pdf", info("_info").alias("plain"), info("_info-custom").alias("custom"), pdftext.xmp(F.col("_xmp")).alias("xmp"))
+    d = dealt(pdfs.join(said, "pdf", "left"), "doc").select("doc", "pdf", info("_info").alias("plain"), info("_info-custom").alias("custom"), pdftext.xmp(F.col("_xmp")).alias("xmp"))
     pages = F.coalesce(pdftext.page_count(F.col("plain")), F.lit(1))
     d = d.select("doc", "pdf", pages.alias("pages"), documents.overlay_maps(F.col("plain"), F.col("custom")).alias("info"), "xmp")
     return d.withColumn("title", F.coalesce(F.nullif(F.col("info")["Title"], F.lit("")), F.col("xmp")["title"]))
@@ -87,6 +87,7 @@ def described(pdfs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def metadata_evidence(described: DataFrame, runs: DataFrame) -> DataFrame:
     """Evidence (``COLUMNS``) of the file names, links, dictionaries and packets of ``described``."""
+    described = dealt(described, "doc")
     stem = F.regexp_replace(F.regexp_extract("pdf", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
     # Exploded, not filtered: a filter on the identifier would state its long expression twice.
     named = described.select("doc", F.explode(F.array_compact(F.array(identify.from_filename(stem)))).alias("id"), F.lit(0).alias("tier"), F.lit(identify.HIGH).alias("confidence"), stem.alias("context"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import identification
 from quillstack.plans.fixtures import table
+from quillstack.sources.tables import dealt
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -25,7 +26,7 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", "l_suppkey")
     own = F.concat(F.lit("\n|10.5555/o"), F.col("doc").cast("string"), F.lit("|"))
     page = F.concat(F.lit("See |10."), (F.col("l_suppkey") + 1000).cast("string"), F.lit("/Part."), F.col("l_partkey").cast("string"), F.lit("|."), F.when(F.col("doc") % 3 == 0, own).otherwise(F.lit("")))
-    pages = items.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", page.alias("text")))).alias("p"))
+    pages = dealt(items, "doc").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", page.alias("text")))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: x["text"]), "\f")
     return pages.select("doc", F.size("p").alias("n"), F.concat(body, F.when(F.col("doc") % 7 == 0, F.lit("\nReferences\n|10.7777/cited|")).otherwise(F.lit(""))).alias("text"))
 

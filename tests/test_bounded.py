@@ -3,9 +3,10 @@
 import unicodedata
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillstack.functions import keys
-from quillstack.operators import identify
+from quillstack.operators import identification, identify
 from quillstack.plans import q_records
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,10 @@ def test_normal_forms_in_parts(monkeypatch):
         want = [None if t is None else unicodedata.normalize(form, t) for t in texts]
         assert keys._normalized(form, pa.array(texts)).to_pylist() == want
     assert keys._normalized("NFC", pa.array([], pa.string())).to_pylist() == []
+
+
+def test_texts_are_dealt_out_before_they_are_searched(spark):
+    texts = spark.range(300).coalesce(1).selectExpr("id AS doc", "concat('see 10.1000/x', id, ' and a-\n b') AS text")
+    found = identification.text_evidence(texts, 7, F.lit(1))
+    assert found.groupBy(F.spark_partition_id()).count().count() > 4
+    assert {r.doc: r.n for r in found.groupBy("doc").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(300), 3)
