@@ -39,8 +39,8 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return padded, first[text] + rank * STRIDE, text
 
 
-def odds(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray) -> tuple:
-    """(class log odds of the scored positions [windows * STRIDE, classes], what backward needs)."""
+def body(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
+    """(hidden units of the scored positions [windows * STRIDE, HIDDEN], what backward needs)."""
     n = len(inputs)
     h = w["embed"][inputs] + w["place"]
     late = h[:, LENGTH - STRIDE :]
@@ -56,9 +56,15 @@ def odds(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray) -> tup
     r = u @ w["hidden"]
     r += w["shift"]
     np.maximum(r, 0, out=r)
+    return r, (flat, flat_late, q, k, v, a, u, r)
+
+
+def odds(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray) -> tuple:
+    """(class log odds of the scored positions [windows * STRIDE, classes], what backward needs)."""
+    r, kept = body(w, inputs)
     logits = r @ w["out"]
     logits += prior[inputs[:, LENGTH - STRIDE :].reshape(-1)]
-    return logits, (h, flat, flat_late, q, k, v, a, u, r)
+    return logits, kept
 
 
 def chances(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -71,8 +77,7 @@ def chances(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray, tar
 
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, prior: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the ``live`` scored positions and its gradients."""
-    n = len(inputs)
-    d, (h, flat, flat_late, q, k, v, a, u, r) = odds(w, inputs, prior)
+    d, kept = odds(w, inputs, prior)
     m = max(int(live.sum()), 1)
     at = np.arange(len(targets))
     aim = d[at, targets]
@@ -82,9 +87,15 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     share = (live / m).astype(d.dtype)
     d *= (share / whole)[:, None]
     d[at, targets] -= share
-    g = {"out": r.T @ d}
-    dr = (d @ w["out"].T) * (r > 0)
-    g["hidden"], g["shift"] = u.T @ dr, dr.sum(0)
+    return loss, {"out": kept[-1].T @ d, **body_gradients(w, inputs, kept, d @ w["out"].T)}
+
+
+def body_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, kept: tuple, dr: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of what makes the hidden units, from theirs, ``dr``."""
+    flat, flat_late, q, k, v, a, u, r = kept
+    n = len(inputs)
+    dr *= r > 0
+    g = {"hidden": u.T @ dr, "shift": dr.sum(0)}
     du = dr @ w["hidden"].T
     dz = du.reshape(n, STRIDE, WIDTH)
     dv = a.transpose(0, 2, 1) @ dz
@@ -101,7 +112,7 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     g["place"] = dh.sum(0)
     pieces, dh = inputs.reshape(-1), dh.reshape(-1, WIDTH)
     g["embed"] = np.stack([np.bincount(pieces, dh[:, i], len(w["embed"])) for i in range(WIDTH)], 1).astype(w["embed"].dtype)
-    return loss, g
+    return g
 
 
 class Adam:

@@ -42,6 +42,8 @@ WARM, WARM_TOKENS, WARM_STEPS, WARM_SIZE, SIZE = 1000, 1 << 16, 1500, 48, 256
 RATE = 0.001
 #: Tokens of a shard, shards at most, and tokens that are shuffled and learned together.
 SHARD, SHARDS, CHUNK = 1 << 22, 4096, 1 << 17
+#: Weights that are added up as one row, and tasks that add.
+BLOCK, ADDERS = 4096, 8
 END = b""
 BLANK = "▁"
 
@@ -337,9 +339,8 @@ def count_pieces(counts: DataFrame, path: str) -> DataFrame:
     return counts.where(F.length("word") > 0).mapInArrow(run, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def learn_words(rows: DataFrame, path: str) -> tuple[Model, DataFrame]:
-    """The model without its network, and the table (word, c) of the rows' word counts."""
-    spark = rows.sparkSession
+def counted(rows: DataFrame) -> tuple[DataFrame, dict[bytes, int], int, int, int]:
+    """(the table (word, c) of the rows' word counts, the head, tokens, distinct tokens, ends)."""
     counts = materialize(count_words(rows))
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     # The head: all words from the lowest count on of which there are no more than HEAD.
@@ -351,6 +352,12 @@ def learn_words(rows: DataFrame, path: str) -> tuple[Model, DataFrame]:
         least = r["c"]
     top = counts.where(F.col("c") >= F.lit(least)).toArrow() if least is not None else counts.limit(0).toArrow()
     head = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
+    return counts, head, int(total), int(distinct), int(ends)
+
+
+def learn_words(rows: DataFrame, path: str) -> tuple[Model, DataFrame]:
+    """The model without its network, and the table (word, c) of the rows' word counts."""
+    counts, head, total, distinct, ends = counted(rows)
     pairs = materialize(count_pieces(counts, path))
     kinds = {a: {r["b"]: r["c"] for r in pairs.where(F.col("a") == a).collect()} for a in (-1, -2, -3)}
     kept = sorted(kinds[-1], key=lambda p: (-kinds[-1][p], p))[:PIECES]
@@ -359,7 +366,7 @@ def learn_words(rows: DataFrame, path: str) -> tuple[Model, DataFrame]:
     both = {(r["a"], r["b"]): r["c"] for r in inner.collect()}
     discard(pairs)
     spelling = Spelling(speller(path).get_piece_size(), kinds[-2], kinds[-3], kinds[-1], both)
-    return Model(path, spelling, head, int(ends), int(total), int(distinct)), counts
+    return Model(path, spelling, head, ends, total, distinct), counts
 
 
 def coded(rows: DataFrame, model: Model) -> DataFrame:
@@ -408,18 +415,18 @@ def sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
 
 
-def learn_classes(model: Model, table: DataFrame, texts: int) -> list[np.ndarray]:
-    """Classes and prior, in place; returns the warm texts: the ``WARM`` training texts whose hash is lowest, read behind
-    a bound of the hash that about twice as many pass."""
-    begin = np.bincount(model.spelling.index, model.spelling.held, model.spelling.n)
-    begin[1] = texts
-    chosen = table.where(F.col("fresh") & (F.col("n_tokens") <= WARM_TOKENS)).withColumn("low", F.pmod("h", F.lit(1 << 40)))
+def warm_texts(table: DataFrame, texts: int) -> list[np.ndarray]:
+    """The ``WARM`` training texts, of so many, whose hash is lowest, read behind a bound of the hash that about twice as
+    many pass."""
+    chosen = table.where(F.col("fresh") & (F.length("seq") <= 2 * WARM_TOKENS)).withColumn("low", F.pmod("h", F.lit(1 << 40)))
     bound = int(min(1.0, 2 * (WARM + 50) / max(texts, 1)) * (1 << 40))
     warm = chosen.where(F.col("low") < bound).dropDuplicates(["h"]).orderBy("low", "h").limit(WARM).select("seq").toArrow()
-    warm = sequences(warm.column("seq").combine_chunks())
-    model.classes = Classes(begin, warm)
-    kinds, n = len(begin), model.classes.count
-    of = table.sparkSession.sparkContext.broadcast(model.classes.of)
+    return sequences(warm.column("seq").combine_chunks())
+
+
+def following(table: DataFrame, of: np.ndarray, n: int) -> np.ndarray:
+    """How often each of the ``n`` classes comes after each token, in all training texts; ``of``: the tokens' classes."""
+    kinds, of = len(of), table.sparkSession.sparkContext.broadcast(of)
 
     def count(batches):
         found = np.zeros(kinds * n, np.int64)
@@ -436,13 +443,30 @@ def learn_classes(model: Model, table: DataFrame, texts: int) -> list[np.ndarray
     follow = np.zeros(kinds * n)
     got = table.where("h IS NOT NULL").select("seq").mapInArrow(count, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     follow[got.column("i").to_numpy()] = got.column("c").to_numpy()
-    model.classes.follow(follow.reshape(kinds, n))
+    return follow.reshape(kinds, n)
+
+
+def learn_classes(model: Model, table: DataFrame, texts: int) -> list[np.ndarray]:
+    """Classes and prior, in place; returns the warm texts."""
+    begin = np.bincount(model.spelling.index, model.spelling.held, model.spelling.n)
+    begin[1] = texts
+    warm = warm_texts(table, texts)
+    model.classes = Classes(begin, warm)
+    model.classes.follow(following(table, model.classes.of, model.classes.count))
     return warm
 
 
-def refine(model: Model, table: DataFrame) -> None:
-    """The second fit, in place: every window of every text of the table that teaches, shard by shard."""
-    tokens = table.where("h IS NOT NULL").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+def blocks_of(sums: dict) -> pa.RecordBatch:
+    """Runs of weights (their start, their sums, tokens) as rows."""
+    columns = [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, names=["i", "v", "n"])
+
+
+def refine(model: Model, table: DataFrame, teach=None) -> None:
+    """The second fit, in place: every window of every text of the table that teaches, shard by shard, by ``teach``
+    (``train``)."""
+    teach = teach or train
+    tokens = table.where("h IS NOT NULL").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0] // 2
     shards = int(min(max(1, -(-tokens // SHARD)), SHARDS))
     shared = table.sparkSession.sparkContext.broadcast(model)
 
@@ -455,7 +479,7 @@ def refine(model: Model, table: DataFrame) -> None:
 
         def learn():
             nonlocal held, size, chunk, used
-            used += train(mine, held, optimiser, seed=chunk)
+            used += teach(mine, held, optimiser, seed=chunk)
             held, size, chunk = [], 0, chunk + 1
 
         def close():
@@ -480,15 +504,23 @@ def refine(model: Model, table: DataFrame) -> None:
                     learn()
         close()
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), count))], names=["i", "v", "n"])
+            yield blocks_of({i: (total[i : i + BLOCK], count) for i in range(0, len(total), BLOCK)})
+
+    def add(batches):
+        sums: dict = {}
+        for batch in batches:
+            for i, v, n in zip(*(batch.column(c).to_pylist() for c in ("i", "v", "n"))):
+                old = sums.get(i, (0.0, 0.0))
+                sums[i] = old[0] + np.frombuffer(v), old[1] + n
+        yield blocks_of(sums)
 
     dealt = table.where("fresh").select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "h", "seq")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h")
-    summed = dealt.mapInArrow(run, "i bigint, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").toArrow()
+    kind = "i bigint, v binary, n double"
+    summed = dealt.mapInArrow(run, kind).repartition(ADDERS, "i").mapInArrow(add, kind).orderBy("i").toArrow()
     if summed.num_rows:
-        n = summed.column("n").to_numpy()
-        model.learned = int(n[0])
-        model.weights = net.unflatten(summed.column("v").to_numpy() / n, model.weights)
+        model.learned = int(summed.column("n")[0].as_py())
+        model.weights = net.unflatten(np.concatenate([np.frombuffer(v) for v in summed.column("v").to_pylist()]) / model.learned, model.weights)
 
 
 def fit(documents: DataFrame, path: str, allowed: Column, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Model, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import conversations, decontaminate, languagemodel, manifest, nearest, pieces, quality, secrets, sharding, simhash, tokencount, toxicity, urlfilter
+from quillstack.llm import conversations, decontaminate, manifest, nearest, pieces, quality, secrets, sharding, simhash, subwords, tokencount, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = languagemodel.score(docs, tokenizer_path("piece_bpe_32k.model"), remainder("doc_id", 10) != 0)
+    scored = subwords.score(docs, tokenizer_path("piece_bpe_32k.model"), remainder("doc_id", 10) != 0)
     return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 
