@@ -42,7 +42,8 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def body(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
     """(hidden units of the scored positions [windows * STRIDE, HIDDEN], what backward needs)."""
     n = len(inputs)
-    h = w["embed"][inputs] + w["place"]
+    h = w["embed"].take(inputs, 0)
+    h += w["place"]
     late = h[:, LENGTH - STRIDE :]
     flat, flat_late = h.reshape(-1, WIDTH), np.ascontiguousarray(late).reshape(-1, WIDTH)
     q = (flat_late @ (w["query"] / np.float32(WIDTH**0.5))).reshape(n, STRIDE, WIDTH)
@@ -52,18 +53,19 @@ def body(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
     np.minimum(a, 30, out=a)
     np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    u = flat_late + (a @ v).reshape(-1, WIDTH)
+    found = (a @ v).reshape(-1, WIDTH)
+    u = flat_late + found
     r = u @ w["hidden"]
     r += w["shift"]
     np.maximum(r, 0, out=r)
-    return r, (flat, flat_late, q, k, v, a, u, r)
+    return r, (flat, flat_late, q, k, v, a, found, u, r)
 
 
 def odds(w: dict[str, np.ndarray], inputs: np.ndarray, prior: np.ndarray) -> tuple:
     """(class log odds of the scored positions [windows * STRIDE, classes], what backward needs)."""
     r, kept = body(w, inputs)
     logits = r @ w["out"]
-    logits += prior[inputs[:, LENGTH - STRIDE :].reshape(-1)]
+    logits += prior.take(inputs[:, LENGTH - STRIDE :].reshape(-1), 0)
     return logits, kept
 
 
@@ -92,7 +94,7 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
 
 def body_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, kept: tuple, dr: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of what makes the hidden units, from theirs, ``dr``."""
-    flat, flat_late, q, k, v, a, u, r = kept
+    flat, flat_late, q, k, v, a, found, u, r = kept
     n = len(inputs)
     dr *= r > 0
     g = {"hidden": u.T @ dr, "shift": dr.sum(0)}
@@ -100,7 +102,8 @@ def body_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, kept: tuple, dr
     dz = du.reshape(n, STRIDE, WIDTH)
     dv = a.transpose(0, 2, 1) @ dz
     ds = dz @ v.transpose(0, 2, 1)
-    ds -= (ds * a).sum(-1, keepdims=True)
+    # The sum of ds * a over the inputs, which is dz times what was found.
+    ds -= np.einsum("ij,ij->i", du, found).reshape(n, STRIDE, 1)
     ds *= a
     scale = np.float32(WIDTH**0.5)
     dq, dk = (ds @ k).reshape(-1, WIDTH), ds.transpose(0, 2, 1) @ q
@@ -110,7 +113,7 @@ def body_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, kept: tuple, dr
     dh = (dk @ w["key"].T + dv @ w["value"].T).reshape(n, LENGTH, WIDTH)
     dh[:, LENGTH - STRIDE :] += (du + dq @ w["query"].T / scale).reshape(n, STRIDE, WIDTH)
     g["place"] = dh.sum(0)
-    pieces, dh = inputs.reshape(-1), dh.reshape(-1, WIDTH)
+    pieces, dh = inputs.reshape(-1).astype(np.intp), dh.reshape(-1, WIDTH)
     g["embed"] = np.stack([np.bincount(pieces, dh[:, i], len(w["embed"])) for i in range(WIDTH)], 1).astype(w["embed"].dtype)
     return g
 

@@ -411,27 +411,27 @@ def coded(rows: DataFrame, model: Model) -> DataFrame:
     return materialize(rows.mapInArrow(run, schema))
 
 
-def sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
+def sequences(column: pa.Array, kind=np.int16) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def warm_texts(table: DataFrame, texts: int) -> list[np.ndarray]:
+def warm_texts(table: DataFrame, texts: int, kind=np.int16) -> list[np.ndarray]:
     """The ``WARM`` training texts, of so many, whose hash is lowest, read behind a bound of the hash that about twice as
     many pass."""
-    chosen = table.where(F.col("fresh") & (F.length("seq") <= 2 * WARM_TOKENS)).withColumn("low", F.pmod("h", F.lit(1 << 40)))
+    chosen = table.where(F.col("fresh") & (F.length("seq") <= np.dtype(kind).itemsize * WARM_TOKENS)).withColumn("low", F.pmod("h", F.lit(1 << 40)))
     bound = int(min(1.0, 2 * (WARM + 50) / max(texts, 1)) * (1 << 40))
     warm = chosen.where(F.col("low") < bound).dropDuplicates(["h"]).orderBy("low", "h").limit(WARM).select("seq").toArrow()
-    return sequences(warm.column("seq").combine_chunks())
+    return sequences(warm.column("seq").combine_chunks(), kind)
 
 
-def following(table: DataFrame, of: np.ndarray, n: int) -> np.ndarray:
+def following(table: DataFrame, of: np.ndarray, n: int, kind=np.int16) -> np.ndarray:
     """How often each of the ``n`` classes comes after each token, in all training texts; ``of``: the tokens' classes."""
     kinds, of = len(of), table.sparkSession.sparkContext.broadcast(of)
 
     def count(batches):
         found = np.zeros(kinds * n, np.int64)
         for batch in filter(len, batches):
-            texts = sequences(batch.column("seq"))
+            texts = sequences(batch.column("seq"), kind)
             sizes = np.array([len(t) for t in texts], np.int64)
             tokens = np.concatenate(texts).astype(np.int64)
             before = np.concatenate(([0], tokens[:-1]))
@@ -462,11 +462,11 @@ def blocks_of(sums: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["i", "v", "n"])
 
 
-def refine(model: Model, table: DataFrame, teach=None) -> None:
+def refine(model: Model, table: DataFrame, teach=None, kind=np.int16) -> None:
     """The second fit, in place: every window of every text of the table that teaches, shard by shard, by ``teach``
     (``train``)."""
     teach = teach or train
-    tokens = table.where("h IS NOT NULL").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0] // 2
+    tokens = table.where("h IS NOT NULL").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0] // np.dtype(kind).itemsize
     shards = int(min(max(1, -(-tokens // SHARD)), SHARDS))
     shared = table.sparkSession.sparkContext.broadcast(model)
 
@@ -490,7 +490,7 @@ def refine(model: Model, table: DataFrame, teach=None) -> None:
                 total, count = values if total is None else total + values, count + used
 
         for batch in batches:
-            for s, h, t in zip(batch.column("shard").to_pylist(), batch.column("h").to_pylist(), sequences(batch.column("seq"))):
+            for s, h, t in zip(batch.column("shard").to_pylist(), batch.column("h").to_pylist(), sequences(batch.column("seq"), kind)):
                 if s != shard:
                     close()
                     mine = copy(shared.value)
@@ -516,8 +516,8 @@ def refine(model: Model, table: DataFrame, teach=None) -> None:
 
     dealt = table.where("fresh").select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "h", "seq")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h")
-    kind = "i bigint, v binary, n double"
-    summed = dealt.mapInArrow(run, kind).repartition(ADDERS, "i").mapInArrow(add, kind).orderBy("i").toArrow()
+    sums = "i bigint, v binary, n double"
+    summed = dealt.mapInArrow(run, sums).repartition(ADDERS, "i").mapInArrow(add, sums).orderBy("i").toArrow()
     if summed.num_rows:
         model.learned = int(summed.column("n")[0].as_py())
         model.weights = net.unflatten(np.concatenate([np.frombuffer(v) for v in summed.column("v").to_pylist()]) / model.learned, model.weights)

@@ -63,16 +63,17 @@ class Tree:
     def follow(self, counts: np.ndarray) -> None:
         self.prior = np.log((counts + 4 * self.chance) / (counts.sum(1, keepdims=True) + 4)).astype(np.float32)
 
-    def binned(self, targets: np.ndarray):
-        """For each bin with targets: (which of them, its slots, their slots within it)."""
+    def binned(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice, np.ndarray]]]:
+        """(which targets are in bins, bin by bin; for each bin with some: their run, its slots, their slots within it)."""
         of = self.of[targets]
         rows = np.flatnonzero(of >= self.leaves)
         rows = rows[np.argsort(of[rows], kind="stable")]
         slots, counts = self.slot[targets[rows]], np.bincount(of[rows], minlength=self.count)
-        stop = np.cumsum(counts)
+        stop, bins = np.cumsum(counts), []
         for c in np.flatnonzero(counts):
-            a, b, first = stop[c] - counts[c], stop[c], self.at[c]
-            yield rows[a:b], slice(first, first + self.size[c]), slots[a:b] - first
+            run, first = slice(stop[c] - counts[c], stop[c]), self.at[c]
+            bins.append((run, slice(first, first + self.size[c]), slots[run] - first))
+        return rows, bins
 
 
 def start(pieces: int, classes: int) -> dict[str, np.ndarray]:
@@ -86,12 +87,15 @@ def chances(w: dict[str, np.ndarray], tree: Tree, inputs: np.ndarray, targets: n
     out = logits[np.arange(len(targets)), tree.of[targets]]
     np.exp(logits, out=logits)
     out -= np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-    for rows, slots, mine in tree.binned(targets):
-        z = r[rows] @ w["member"][:, slots]
+    rows, bins = tree.binned(targets)
+    x, lower = r.take(rows, 0), np.empty(len(rows), r.dtype)
+    for run, slots, mine in bins:
+        z = x[run] @ w["member"][:, slots]
         z += tree.share[slots]
         aim = z[np.arange(len(mine)), mine]
         np.exp(z, out=z)
-        out[rows] += aim - np.log(z @ np.ones(z.shape[1], z.dtype))
+        lower[run] = aim - np.log(z @ np.ones(z.shape[1], z.dtype))
+    out[rows] += lower
     return out
 
 
@@ -114,13 +118,17 @@ def gradients(w: dict[str, np.ndarray], tree: Tree, inputs: np.ndarray, targets:
     loss = descend(d, tree.of[targets], share)
     g = {"out": r.T @ d, "member": np.zeros_like(w["member"])}
     dr = d @ w["out"].T
-    for rows, slots, mine in tree.binned(targets):
-        x, member = r[rows], w["member"][:, slots]
-        z = x @ member
+    rows, bins = tree.binned(targets)
+    x, part = r.take(rows, 0), share[rows]
+    dx = np.empty_like(x)
+    for run, slots, mine in bins:
+        member = w["member"][:, slots]
+        z = x[run] @ member
         z += tree.share[slots].astype(z.dtype)
-        loss += descend(z, mine, share[rows])
-        g["member"][:, slots] = x.T @ z
-        dr[rows] += z @ member.T
+        loss += descend(z, mine, part[run])
+        g["member"][:, slots] = x[run].T @ z
+        np.matmul(z, member.T, out=dx[run])
+    dr[rows] += dx
     return loss, {**g, **net.body_gradients(w, inputs, kept, dr)}
 
 
@@ -131,7 +139,9 @@ class Model:
     def __init__(self, path: str, ids: dict[int, int], head: dict[bytes, int], ends: int, total: int, distinct: int):
         self.path, self.total, self.distinct = path, total, distinct
         size, seen = lm.speller(path).get_piece_size(), sorted(ids, key=lambda p: (-ids[p], p))
-        self.index = np.full(size, UNSEEN, np.int16)
+        #: What holds an index: 16 bits, 32 for a tokenizer whose training words have more pieces than that.
+        self.kind = np.int16 if FIRST + len(seen) <= np.iinfo(np.int16).max else np.int32
+        self.index = np.full(size, UNSEEN, self.kind)
         self.index[seen] = np.arange(FIRST, FIRST + len(seen))
         #: Log number of the pieces that share the chance of ``UNSEEN``.
         self.unseen = float(np.log(max(size - len(seen), 1)))
@@ -139,7 +149,7 @@ class Model:
         self.n = FIRST + len(seen)
         self.words = [lm.END, *(w for w in head if w != lm.END)]
         sizes, flat = self.pieces(self.words[1:])
-        self.known = (np.append(1, sizes), np.append(np.int16(END), flat), np.array([ends, *(head[w] for w in self.words[1:])], np.int64))
+        self.known = (np.append(1, sizes), np.append(self.kind(END), flat), np.array([ends, *(head[w] for w in self.words[1:])], np.int64))
         self.weights: dict[str, np.ndarray] = start(self.n, self.tree.count)
         #: Pieces that the network has learned from, after the warm texts.
         self.learned = 0
@@ -222,7 +232,7 @@ def count_ids(counts: DataFrame, path: str) -> dict[int, int]:
 
 def coded(rows: DataFrame, model: Model) -> DataFrame:
     """A table of two kinds of rows. A row for each text: row, key, h (null for rows that teach nothing), fresh (no row
-    before it in the task has its h), seq (its pieces, 16 bits each), n_tokens, and what the head's words add to n_known
+    before it in the task has its h), seq (its pieces, ``Model.kind`` each), n_tokens, and what the head's words add to n_known
     and base. A row for each other word of a text: row, word, tf."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["key"].dataType.simpleString()
@@ -246,7 +256,7 @@ def coded(rows: DataFrame, model: Model) -> DataFrame:
             known = c >= 0
             base = np.where(known, reader.model.base(np.maximum(c, 0)), 0.0)
             flat, many = reader.pieces(words)
-            seq, ends = flat.tobytes(), np.concatenate(([0], np.cumsum(np.add.reduceat(many, begin)))) * 2
+            seq, ends = flat.tobytes(), np.concatenate(([0], np.cumsum(np.add.reduceat(many, begin)))) * flat.itemsize
             yield batch_of(
                 n, types, row=batch.column("row"), key=batch.column("key"), h=batch.column("h"), fresh=pa.array(fresh), seq=pa.array([seq[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()), n_tokens=pa.array(sizes),
                 n_known=pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), base=pa.array(np.add.reduceat(base, begin)),
@@ -266,7 +276,7 @@ def train(model: Model, texts: list[np.ndarray], optimiser: net.Adam, steps: int
     rate = optimiser.rate
     tokens, lengths = np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
     row, begin, place = lm.inputs_of(tokens, lengths)
-    targets, live = np.full(len(begin) * net.STRIDE, START, np.int16), np.zeros(len(begin) * net.STRIDE, bool)
+    targets, live = np.full(len(begin) * net.STRIDE, START, tokens.dtype), np.zeros(len(begin) * net.STRIDE, bool)
     targets[place], live[place] = tokens, True
     targets, live = targets.reshape(-1, net.STRIDE), live.reshape(-1, net.STRIDE)
     order = np.random.default_rng(seed).permutation(len(begin))
@@ -275,7 +285,7 @@ def train(model: Model, texts: list[np.ndarray], optimiser: net.Adam, steps: int
         at = order[np.arange(step * size, step * size + size) % len(order)] if steps is not None else order[step * size : step * size + size]
         if steps is not None:
             optimiser.rate = rate * (1 - 0.9 * step / steps)
-        _, g = gradients(model.weights, model.tree, row[begin[at][:, None] + np.arange(net.LENGTH)], targets[at].ravel(), live[at].ravel())
+        _, g = gradients(model.weights, model.tree, row.take(begin[at][:, None] + np.arange(net.LENGTH)), targets[at].ravel(), live[at].ravel())
         optimiser.step(g)
         used += int(live[at].sum())
     return used
@@ -284,7 +294,7 @@ def train(model: Model, texts: list[np.ndarray], optimiser: net.Adam, steps: int
 def text_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each text: the sum of the log chances of its pieces."""
     row, begin, place = lm.inputs_of(tokens, lengths)
-    targets = np.full(len(begin) * net.STRIDE, START, np.int16)
+    targets = np.full(len(begin) * net.STRIDE, START, tokens.dtype)
     targets[place] = tokens
     chance = np.zeros(len(targets))
     for i in range(0, len(begin), BATCH):
@@ -303,9 +313,9 @@ def fit(documents: DataFrame, path: str, allowed: Column, key: str = "doc_id", t
     model = Model(path, count_ids(counts, path), head, ends, total, distinct)
     h = F.when(F.col("teaches"), F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "text"))
     table = coded(rows.select(F.monotonically_increasing_id().alias("row"), "key", h.alias("h"), "text"), model)
-    model.tree.follow(lm.following(table, model.tree.of, model.tree.count))
-    train(model, lm.warm_texts(table, ends), net.Adam(model.weights, 0.015), lm.WARM_STEPS)
-    lm.refine(model, table, train)
+    model.tree.follow(lm.following(table, model.tree.of, model.tree.count, model.kind))
+    train(model, lm.warm_texts(table, ends, model.kind), net.Adam(model.weights, 0.015), lm.WARM_STEPS)
+    lm.refine(model, table, train, model.kind)
     return table, model, counts
 
 
@@ -327,7 +337,7 @@ def scored(table: DataFrame, model: Model, counts: DataFrame, key: str) -> DataF
 
     def run(batches):
         for batch in batches:
-            texts = lm.sequences(batch.column("seq"))
+            texts = lm.sequences(batch.column("seq"), shared.value.kind)
             sizes = np.array([len(t) for t in texts], np.int64)
             found = np.zeros(len(texts))
             at = 0
