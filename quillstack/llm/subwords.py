@@ -31,6 +31,8 @@ from quillstack.llm.common import Memo, materialize, parts, ranges, words_of
 LEAVES, BINS = 48, 16
 #: Windows that are scored at once.
 BATCH = 256
+#: Indices that 16 bits hold.
+NARROW = np.iinfo(np.int16).max
 #: Pieces before the text, at its end, and those of no training word; then the others, most frequent first.
 START, END, UNSEEN, FIRST = 0, 1, 2, 3
 
@@ -140,7 +142,7 @@ class Model:
         self.path, self.total, self.distinct = path, total, distinct
         size, seen = lm.speller(path).get_piece_size(), sorted(ids, key=lambda p: (-ids[p], p))
         #: What holds an index: 16 bits, 32 for a tokenizer whose training words have more pieces than that.
-        self.kind = np.int16 if FIRST + len(seen) <= np.iinfo(np.int16).max else np.int32
+        self.kind = np.int16 if FIRST + len(seen) <= NARROW else np.int32
         self.index = np.full(size, UNSEEN, self.kind)
         self.index[seen] = np.arange(FIRST, FIRST + len(seen))
         #: Log number of the pieces that share the chance of ``UNSEEN``.

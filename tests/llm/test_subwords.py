@@ -188,6 +188,16 @@ def test_scores_do_not_depend_on_partitions_or_the_head(docs, monkeypatch):
         assert x[:4] == y[:4] and x[4] == pytest.approx(y[4], abs=1e-2)
 
 
+def test_many_pieces_are_held_in_32_bits(docs, fitted, monkeypatch):
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6))
+    narrow = sorted(subwords.scored(*fitted, "doc_id").collect(), key=key)
+    monkeypatch.setattr(subwords, "NARROW", 10)
+    wide = subwords.fit(docs, PATH, allowed())
+    assert wide[1].kind is np.int32 and wide[1].learned == fitted[1].learned
+    for x, y in zip(narrow, sorted(subwords.scored(*wide, "doc_id").collect(), key=key), strict=True):
+        assert key(x) == key(y) and x.score == pytest.approx(y.score, abs=1e-2)
+
+
 def test_empty_tables(docs):
     assert subwords.score(docs.limit(0), PATH, allowed()).count() == 0
     got = subwords.score(docs, PATH, F.lit(False)).collect()
