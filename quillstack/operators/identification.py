@@ -126,7 +126,8 @@ def identify_documents(pdfs: DataFrame, recorded: DataFrame) -> Identification:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    runs = recorded.where("error IS NULL AND text IS NOT NULL").select("pdf", "op_key", "text")
+    # Each stage reads the runs: they are made once, whatever they are made from.
+    runs = table(recorded.where("error IS NULL AND text IS NOT NULL").select("pdf", "op_key", "text"))
     docs = table(described(pdfs.select("doc", "pdf"), runs))
     evidence, asked = [table(metadata_evidence(docs, runs))], None
     for stage in TEXT_STAGES:

@@ -61,11 +61,11 @@ def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         run(F.lit("text-1-1-layout"), F.when(kind == 1, F.concat(F.lit("arXiv:1706."), F.lpad((doc % 100000).cast("string"), 5, "0"))).otherwise(F.lit("no mark"))),
         run(last, F.when((kind == 2) & (n > 1), F.concat(F.lit("|"), doi("10.2222/l"), F.lit("|")))),
         run(full, F.when(kind == 3, F.col("text")).when((kind == 2) & (n > 1), F.concat(F.lit("|"), doi("10.2222/l"), F.lit("|"))).when(kind == 1, "|10.9999/unread|")),
+        # Orders have seven lineitems at most, so a front matter of six pages is another run than the full scan of seven.
+        run(front, F.when((kind == 2) & (n > 6), F.concat(F.lit("|"), doi("10.2222/l"), F.lit("|")))),
     )
     rows = texts.select("pdf", F.explode(F.filter(runs, lambda r: r["text"].isNotNull())).alias("r")).select("pdf", "r.op_key", "r.text", F.lit(None).cast("string").alias("error"))
-    # Orders have seven lineitems at most, so a front matter of six pages is another run than the full scan of seven.
-    extra = texts.where((kind == 2) & (n > 6)).select("pdf", front.alias("op_key"), F.concat(F.lit("|"), doi("10.2222/l"), F.lit("|")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return texts.select("doc", "pdf"), rows.unionByName(extra)
+    return texts.select("doc", "pdf"), rows
 
 
 IDENTIFY_SQL = f"""WITH {PAGED_SQL},

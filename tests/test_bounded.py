@@ -40,3 +40,20 @@ def test_texts_are_dealt_out_before_they_are_searched(spark):
     found = identification.text_evidence(texts, 7, F.lit(1))
     assert found.groupBy(F.spark_partition_id()).count().count() > 4
     assert {r.doc: r.n for r in found.groupBy("doc").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(300), 3)
+
+
+def test_recorded_runs_are_made_once(spark):
+    """Five stages read the runs; what they are made from is read by one job alone."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    pdfs = spark.createDataFrame([(i, f"{i}.pdf") for i in range(6)], "doc long, pdf string")
+    rows = [(f"{i}.pdf", key, text, None) for i in range(6) for key, text in (("info", "Pages: 3"), ("text-1-1-layout", "none"), ("text-3-3", "|10.1000/x|"))]
+    schema = "pdf string, op_key string, text string, error string"
+    found = identification.identify_documents(pdfs, spark.createDataFrame(rows, schema).mapInArrow(count, schema))
+    assert [r.id.value for r in found.evidence.collect()] == ["10.1000/x"] * 6
+    assert made.value == len(rows)
